@@ -11,6 +11,9 @@ from lonja.session import materialise
 #: How a source's weight leans over the run, from -1 (early) to 1 (late): weight(t) = share * (1 + lean * (2 t - 1)).
 LEAN = {"ads": -0.6, "forum": -0.3, "guides": 0.7, "press": 0.4, "workshop": 0.5, "tax_notes": 0.3, "faq": 0.6}
 
+#: Rounds in which each source may add a text to come nearer to its share.
+TOP_UPS = 3
+
 
 def mix_plan(totals: dict[str, int], targets: dict[str, tuple[float, int]], lean: dict[str, float], total_tokens: int | None = None) -> dict[str, dict]:
     """Demand, lean and share of each source. A source without tokens leaves its share to the others in proportion.
@@ -35,8 +38,8 @@ def mix(docs: DataFrame, targets: DataFrame, lean: dict[str, float] | None = Non
     """position, source, doc_id, use, n_tokens: the mixture in training order; docs(doc_id, source, n_tokens).
 
     Each source's texts stand in a fixed hashed order; use u of a text covers the source's tokens [u * tokens + before,
-    ... + n_tokens). A use is taken if it ends within the source's demand; then the one further text joins that comes
-    nearest to what the demand still lacks. No text is used more than max_repeats times. The time t at which the source's cumulative weight
+    ... + n_tokens). A use is taken if it ends within the source's demand; then at most TOP_UPS further texts join,
+    each the one that comes nearest to what the demand still lacks. No text is used more than max_repeats times. The time t at which the source's cumulative weight
     share * (t + lean * (t * t - t)) reaches the place is its position, in tokens of the mixture. Texts of no tokens, of
     a null source or of a source without target are not part of the mixture. Empty input gives an empty result.
     """
@@ -51,16 +54,15 @@ def mix(docs: DataFrame, targets: DataFrame, lean: dict[str, float] | None = Non
     last = F.least(F.ceil(F.col("demand") / F.col("tokens")), F.col("max_repeats")).cast("int") - 1
     uses = placed.select("*", F.explode(F.sequence(F.lit(0), F.greatest(last, F.lit(0)))).alias("use"))
     uses = uses.withColumn("end", F.col("use") * F.col("tokens") + F.col("before") + F.col("n_tokens"))
-    uses = materialise(uses.drop("p_source"), "uses")
-    taken = uses.where(F.col("end") <= F.col("demand"))
-    # one more text of each source, the one that comes nearest to what its demand lacks
-    lack = plans.select("p_source", "demand").join(taken.groupBy(F.col("source").alias("g")).agg(F.max("end").alias("upto")), F.col("p_source") == F.col("g"), "left")
-    lack = lack.select("p_source", (F.col("demand") - F.coalesce("upto", F.lit(0))).alias("lack"))
-    beyond = uses.where(F.col("end") > F.col("demand")).join(lack, F.col("source") == F.col("p_source")).drop("p_source")
-    gap = F.abs(F.col("n_tokens") - F.col("lack"))
-    extra = beyond.where(gap < F.col("lack")).groupBy("source").agg(F.min_by(F.struct(*uses.columns), F.struct(gap, "doc_id", "use")).alias("u")).select("u.*")
-    extra = extra.withColumn("end", F.col("demand") + F.col("n_tokens") / 2)
-    uses = taken.withColumn("end", F.col("end").cast("double")).unionByName(extra).withColumn("at", F.least(F.col("end") - F.col("n_tokens") / 2, F.col("demand")))
+    materialised = materialise(uses.drop("p_source"), "uses")
+    taken = materialised.where(F.col("end") <= F.col("demand"))
+    uses = taken.withColumn("end", F.col("end").cast("double"))
+    extra = _top_up(materialised, taken, {s: p["demand"] for s, p in plan.items()})
+    if extra:
+        few = spark.createDataFrame(extra, "source string, doc_id bigint, use int, place double")
+        late = materialised.join(few, ["source", "doc_id", "use"]).withColumn("end", F.col("place") + F.col("n_tokens")).drop("place")
+        uses = uses.unionByName(late)
+    uses = uses.withColumn("at", F.least(F.col("end") - F.col("n_tokens") / 2, F.col("demand")))
     # invert x = t + lean * (t^2 - t) for x = at / demand
     x, b = F.col("at") / F.col("demand"), 1 - F.col("lean")
     time = F.when(F.abs("lean") < 1e-9, x).otherwise(2 * x / (b + F.sqrt(F.greatest(b * b + 4 * F.col("lean") * x, F.lit(0.0)))))
@@ -68,6 +70,28 @@ def mix(docs: DataFrame, targets: DataFrame, lean: dict[str, float] | None = Non
     return out.orderBy("position", "source", "doc_id", "use")
 
 
+def _top_up(uses: DataFrame, taken: DataFrame, demand: dict[str, float]) -> list[tuple]:
+    """(source, doc_id, use, place) of further texts: in each round the one text of each source, from beyond its demand,
+    that comes nearest to what it lacks. One row a source and round reaches the driver."""
+    upto = {r.source: r.upto for r in taken.groupBy("source").agg(F.max("end").alias("upto")).collect()}
+    lack = {s: d - (upto.get(s) or 0) for s, d in demand.items()}
+    chosen: list[tuple] = []
+    spark = uses.sparkSession
+    for _ in range(TOP_UPS):
+        table = spark.createDataFrame([(s, float(x)) for s, x in lack.items() if x >= 1], "source string, lack double")
+        left = uses.where(F.col("end") > F.col("demand")).join(table, "source")
+        if chosen:
+            left = left.join(spark.createDataFrame([c[:3] for c in chosen], "source string, doc_id bigint, use int"), ["source", "doc_id", "use"], "left_anti")
+        gap = F.abs(F.col("n_tokens") - F.col("lack"))
+        got = left.where(gap < F.col("lack")).groupBy("source").agg(F.min(F.struct(gap.alias("gap"), "doc_id", "use", "n_tokens")).alias("b")).collect()
+        for r in got:
+            chosen.append((r.source, r.b.doc_id, r.b.use, demand[r.source] - lack[r.source]))
+            lack[r.source] -= r.b.n_tokens
+        if not got:
+            break
+    return chosen
+
+
 def reached_shares(mixture: DataFrame, targets: DataFrame, phases: int = 4) -> DataFrame:
     """source, target_share, reached_share, tokens, texts, most_uses and the share in each phase of the run."""
     end = mixture.agg(F.max("position").alias("end"))
