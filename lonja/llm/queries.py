@@ -6,7 +6,7 @@ import importlib
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
-for _name in ("q_text", "q_values", "q_sizes", "q_subjects", "q_entities"):
+for _name in ("q_text", "q_values", "q_sizes", "q_subjects", "q_entities", "q_products"):
     _m = importlib.import_module(f"lonja.llm.{_name}")
     QUERIES |= _m.QUERIES
     ORACLE |= _m.ORACLE
