@@ -2,29 +2,29 @@
 
 from __future__ import annotations
 
+import functools
+import sys
 import unicodedata
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def _latin_table(first: int = 0x00A0, last: int = 0x024F) -> tuple[str, str]:
-    """Letters whose compatibility decomposition is one ASCII character, by rule from the Unicode data."""
-    src, dst = [], []
-    for code in range(first, last + 1):
+@functools.cache
+def _decomposed() -> tuple[str, str, dict[str, str]]:
+    """By rule from the Unicode data: characters whose compatibility decomposition leaves one ASCII character (two strings
+    side by side), and those that leave several (ligatures, numerals, squared units)."""
+    src, dst, many = [], [], {}
+    for code in range(0xA0, sys.maxunicode + 1):
+        if 0xD800 <= code <= 0xDFFF or 0xAC00 <= code <= 0xD7A3 or 0x4E00 <= code <= 0x9FFF:
+            continue
         plain = unicodedata.normalize("NFKD", chr(code)).encode("ascii", "ignore").decode()
         if len(plain) == 1:
             src.append(chr(code))
             dst.append(plain)
-    for sub in range(10):
-        for base in (0x2080,):
-            src.append(chr(base + sub))
-            dst.append(str(sub))
-    for ch, plain in (("²", "2"), ("³", "3"), ("¹", "1")):
-        if ch not in src:
-            src.append(ch)
-            dst.append(plain)
-    return "".join(src), "".join(dst)
+        elif len(plain) > 1 and plain.isalnum() and (0x2160 <= code <= 0x217F or 0xFB00 <= code <= 0xFB06 or 0x3371 <= code <= 0x33FF or code in (0xC6, 0x132, 0x133, 0x1C4, 0x2116, 0x2121, 0x2122)):
+            many[chr(code)] = plain
+    return "".join(src), "".join(dst), many
 
 
 def _wide_table() -> tuple[str, str]:
@@ -35,7 +35,7 @@ def _wide_table() -> tuple[str, str]:
     return wide + gone, plain
 
 
-LATIN, PLAIN = _latin_table()
+LATIN, PLAIN, MANY = _decomposed()
 WIDE, NARROW = _wide_table()
 
 
@@ -45,13 +45,17 @@ def fold_wide(c: Column) -> Column:
 
 
 def strip_accents(c: Column) -> Column:
-    return F.translate(c, LATIN, PLAIN)
+    """Compatibility decomposition without what is not ASCII in it; other characters stay. Texts that hold a character
+    which decomposes into several take the longer way."""
+    many = F.create_map(*[F.lit(x) for kv in MANY.items() for x in kv])
+    spread = F.array_join(F.transform(F.split(c, ""), lambda x: F.coalesce(many[x], x)), "")
+    return F.translate(F.when(c.rlike("[" + "".join(MANY) + "]"), spread).otherwise(c), LATIN, PLAIN)
 
 
 def normalize_text(c: Column) -> Column:
     """Accents folded, what is still not ASCII deleted, lower case, runs of others to `_`; null or empty gives `na`."""
     t = F.regexp_replace(strip_accents(c), r"[^\x00-\x7F]", "")
-    t = F.trim(F.lit("_"), F.regexp_replace(F.lower(t), "[^a-z0-9]+", "_"))
+    t = F.trim(F.regexp_replace(F.lower(t), "[^a-z0-9]+", "_"), F.lit("_"))
     return F.coalesce(F.when(t != "", t), F.lit("na"))
 
 
