@@ -8,6 +8,7 @@ resolved at the end of each word. The table is checked for conflicts: one output
 from __future__ import annotations
 
 import functools
+import re
 import sys
 import unicodedata
 
@@ -123,13 +124,13 @@ _WORD = regex.compile(r"[\p{L}\p{M}\p{N}]+")
 _SCRIPT = {s: regex.compile(rf"\p{{Script={s}}}") for s in ("Latin", *LOOKALIKES)}
 
 
-@functools.lru_cache(200_000)
+@functools.lru_cache(20_000)
 def _cluster(c: str) -> str:
     """A grapheme cluster: its characters through the trie, then composed."""
     return unicodedata.normalize("NFKC", transducer().apply(c))
 
 
-@functools.lru_cache(200_000)
+@functools.lru_cache(20_000)
 def _word(w: str) -> str:
     """Look-alikes of one word: letters of a second script become those of the script its other letters settle."""
     count = {s: len(p.findall(w)) for s, p in _SCRIPT.items()}
@@ -153,7 +154,7 @@ def canonical(text: str | None) -> str | None:
     """The consistent form of a text; None stays None, an empty text stays empty."""
     if text is None:
         return None
-    if text.isascii() and text.isprintable():
+    if not _suspect().search(text):
         return text
     s = "".join(c if c.isascii() and c.isprintable() else _cluster(c) for c in _CLUSTER.findall(text))
     s = unicodedata.normalize("NFKC", s)
@@ -165,11 +166,27 @@ def canonical_udf(s: pd.Series) -> pd.Series:
     return s.map(canonical, na_action="ignore").astype(object).where(s.notna(), None)
 
 
+@functools.cache
+def _inert_ranges() -> list[tuple[int, int]]:
+    """Ranges, by rule, of what can never change: printable ASCII, Latin letters and symbols that map to themselves."""
+    keep = [*range(0x20, 0x7F), *(c for c in (*range(0xA1, 0x250), *range(0x2600, 0x2700)) if _one(chr(c)) == chr(c) and unicodedata.category(chr(c))[0] in "LSP")]
+    out: list[list[int]] = []
+    for c in keep:
+        if out and out[-1][1] == c - 1:
+            out[-1][1] = c
+        else:
+            out.append([c, c])
+    return [tuple(r) for r in out]
+
+
 @functools.cache
 def _inert_class() -> str:
-    """Character class, by rule, of what can never change: printable ASCII, Latin letters and symbols that map to themselves."""
-    keep = [chr(c) for c in (*range(0xA1, 0x250), *range(0x2600, 0x2700)) if _one(chr(c)) == chr(c) and unicodedata.category(chr(c))[0] in "LSP"]
-    return r"\x20-\x7E" + "".join(f"\\x{{{ord(c):X}}}" for c in keep)
+    return "".join(f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in _inert_ranges())
+
+
+@functools.cache
+def _suspect():
+    return re.compile("[^" + "".join(f"{re.escape(chr(a))}-{re.escape(chr(b))}" for a, b in _inert_ranges()) + "]")
 
 
 def suspicious(c: Column) -> Column:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import re
 import unicodedata
 
@@ -33,6 +34,7 @@ FUEL_WORDS = {
 }
 
 
+@functools.lru_cache(20_000)
 def normal(v: str | None) -> str | None:
     """One consistent, lower-case, unaccented form without decoration: a leading label, bracketed notes, a trailing note
     after a spaced slash. Letters, digits and dots are kept."""

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lonja.llm.canonical_values import map_values, normal_udf
-from lonja.llm.vehicle_text import ROMAN, Lexicon, model_likeness, read, tokens
+from lonja.llm.vehicle_text import Lexicon, model_likeness, read, tokens
 from lonja.session import materialise
 
 # Official fuel codes and the words that stand for them in the fiscal input.
@@ -82,18 +82,28 @@ def parse(df: DataFrame, text: str, lex: Lexicon) -> DataFrame:
     return df.withColumn("r", run(F.col(text), F.col("brand_key"))).select("*", "r.*").drop("r")
 
 
-def brand_keys(df: DataFrame, brand: str, canon: DataFrame) -> DataFrame:
-    """Adds brand_key: the canonical entry of a typed brand, or its normal form where there is none."""
-    mapped = map_values(df.select(F.lit("make").alias("list_name"), F.col(brand).alias("value")), canon).select(F.col("value").alias("_b"), "canon_id")
-    j = df.join(mapped, F.col(brand) == F.col("_b"), "left").drop("_b")
-    return j.withColumn("brand_key", F.when(F.coalesce("canon_id", F.lit(-1)) >= 0, F.col("canon_id").cast("string")).otherwise(normal_udf(F.col(brand)))).drop("canon_id")
+def brand_map(frames: list[tuple[DataFrame, str]], canon: DataFrame) -> DataFrame:
+    """brand, brand_key of every typed brand of several frames, settled in one go: the canonical entry, or the normal form
+    of a brand without one."""
+    values = None
+    for df, c in frames:
+        one = df.select(F.lit("make").alias("list_name"), F.col(c).alias("value"))
+        values = one if values is None else values.union(one)
+    mapped = map_values(values, canon)
+    key = F.when(F.col("canon_id") >= 0, F.col("canon_id").cast("string")).otherwise(normal_udf("value"))
+    return materialise(mapped.select(F.col("value").alias("brand_value"), key.alias("brand_key")), "brands")
+
+
+def with_brand_key(df: DataFrame, brand: str, brands: DataFrame) -> DataFrame:
+    return df.join(brands, F.col(brand) == F.col("brand_value"), "left").drop("brand_value")
 
 
 def candidates(vehicles: DataFrame, official: DataFrame, canon: DataFrame) -> DataFrame:
     """vk, cands: per distinct vehicle description, the official rows of its brand and model in whose commercial period
     its registration lies, with the similarity vector of each. A description's candidates are at most the official rows
     of one model, so the array is bounded by the reference table."""
-    off = materialise(brand_keys(official.where("id is not null and model_type is not null"), "brand", canon).select("id", "brand_key", "model_type", "commercial_start", "commercial_end", "displacement_cc", "fuel_code", "power_kw", "power_cv"), "official")
+    brands = brand_map([(official, "brand"), (vehicles, "marca")], canon)
+    off = materialise(with_brand_key(official.where("id is not null and model_type is not null"), "brand", brands).select("id", "brand_key", "model_type", "commercial_start", "commercial_end", "displacement_cc", "fuel_code", "power_kw", "power_cv"), "official")
     lex = learn_lexicon(off)
     off = parse(off, "model_type", lex).select(
         "id", "brand_key", F.try_element_at("models", F.lit(1)).model.alias("model"), "commercial_start", "commercial_end",
@@ -101,7 +111,7 @@ def candidates(vehicles: DataFrame, official: DataFrame, canon: DataFrame) -> Da
         F.col("drive").alias("b_drive"), F.col("trim").alias("b_trim"),
         F.when(F.col("fuel_code").isin("Elc", "PHEV"), F.lit("automatic")).otherwise(F.coalesce("gear", F.lit("manual"))).alias("b_gear"), F.col("litres").alias("b_litres"),
     )
-    v = brand_keys(vehicles, "marca", canon).where("brand_key is not null")
+    v = with_brand_key(vehicles, "marca", brands).where("brand_key is not null")
     v = parse(v, "modelo", lex)
     fuel = F.lower(F.translate("combustible", "áéíóúÁÉÍÓÚ", "aeiouAEIOU"))
     code = F.lit(None).cast("string")

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import functools
 import re
 import unicodedata
 from dataclasses import dataclass, field
@@ -23,10 +22,24 @@ _DUAL = re.compile(r"\b(\d{2,3})(kw|ps|cv)\s*[/(]\s*(\d{2,3})(kw|ps|cv)\)?")
 FACTOR = {"kw": 1.0, "cv": 0.735499, "ps": 0.735499, "hp": 0.735499}
 
 
-@functools.lru_cache(100_000)
+class _Fold(dict):
+    """Code point -> folded text, filled as characters occur: lower case, no accents, common letters spelt out."""
+
+    SPELT = {"ß": "ss", "ø": "o", "æ": "ae", "ł": "l"}
+
+    def __missing__(self, code: int) -> str:
+        low = chr(code).lower()
+        plain = self.SPELT.get(low) or "".join(ch for ch in unicodedata.normalize("NFKD", low) if not unicodedata.combining(ch))
+        self[code] = plain
+        return plain
+
+
+_FOLD = _Fold()
+
+
 def fold(text: str) -> str:
-    t = canonical(text).lower().replace("ß", "ss").replace("ø", "o").replace("æ", "ae").replace("ł", "l")
-    return "".join(ch for ch in unicodedata.normalize("NFKD", t) if not unicodedata.combining(ch))
+    """Consistent form, lower case, without accents."""
+    return text.lower() if text.isascii() and text.isprintable() else canonical(text).translate(_FOLD)
 
 
 def tokens(text: str | None) -> list[str]:
@@ -43,6 +56,10 @@ class Lexicon:
     drive: dict[str, str] = field(default_factory=dict)
     trims: tuple[str, ...] = ()
     models: dict[str, list[str]] = field(default_factory=dict)
+    seen: dict[str, tuple] = field(default_factory=dict, repr=False)
+
+    def __getstate__(self) -> dict:
+        return {**self.__dict__, "seen": {}}
 
 
 @dataclass
@@ -70,39 +87,54 @@ def trim_likeness(word: str, trim: str) -> float:
     return 1 - d / len(trim) if d <= (2 if len(trim) >= 7 else 1) else 0.0
 
 
-@functools.lru_cache(200_000)
-def best_trim(word: str, trims: tuple[str, ...]) -> tuple[float, str | None]:
-    return max(((trim_likeness(word, t), t) for t in trims), default=(0.0, None))
+def classify(w: str, lex: Lexicon) -> tuple:
+    """What one word is: (kind, value) with the likeness for a trim. Kept by word in the lexicon's cache."""
+    if (hit := lex.seen.get(w)) is not None:
+        return hit
+    if m := _LITRE.fullmatch(w):
+        out = ("litres", float(m[1].replace(",", ".")))
+    elif m := _CC.fullmatch(w):
+        out = ("cc", int(m[1]))
+    elif m := _POWER.fullmatch(w):
+        out = ("kw", int(m[1]) * FACTOR[m[2]])
+    elif w in lex.drive:
+        out = ("drive", w)
+    elif w in AUTOMATIC:
+        out = ("gear", "automatic")
+    elif w in MANUAL:
+        out = ("gear", "manual")
+    else:
+        s, t = max(((trim_likeness(w, t), t) for t in lex.trims), default=(0.0, None))
+        near = [d for d in lex.drive if len(d) >= 4 and osa(w, d) == 1] if s < 0.7 and len(w) >= 5 else []
+        out = ("trim", t, s) if s >= 0.7 else ("near", near[0]) if near else ("rest", w)
+    if len(lex.seen) > 50_000:
+        lex.seen.clear()
+    lex.seen[w] = out
+    return out
 
 
 def read(text: str | None, lex: Lexicon) -> Reading:
-    """Each word is read once, as the first of: displacement, power, drive word, gearbox word, trim; others are the rest."""
+    """Each word is read once, as the first of: displacement, power, drive word, gearbox word, trim, misspelt drive word;
+    others are the rest. The first word of a kind counts, for trims the likest."""
     r = Reading()
-    words = tokens(text)
-    drive_keys = tuple(lex.drive)
-    for w in words:
-        if m := _LITRE.fullmatch(w):
-            r.litres = r.litres or float(m[1].replace(",", "."))
-        elif m := _CC.fullmatch(w):
-            r.cc = r.cc or int(m[1])
-        elif m := _POWER.fullmatch(w):
-            r.kw = r.kw or int(m[1]) * FACTOR[m[2]]
-        elif w in lex.drive:
-            r.drive = r.drive or w
-        elif w in AUTOMATIC:
-            r.gear = r.gear or "automatic"
-        elif w in MANUAL:
-            r.gear = r.gear or "manual"
-        else:
-            s, t = best_trim(w, lex.trims)
-            if s >= 0.7 and s > r.trim_sim:
+    for w in tokens(text):
+        kind, value, *sim = classify(w, lex)
+        if kind == "trim":
+            if sim[0] > r.trim_sim:
                 if r.trim:
                     r.rest.append(r.trim)
-                r.trim, r.trim_sim = t, s
-            elif s < 0.7 and len(w) >= 5 and (near := [d for d in drive_keys if len(d) >= 4 and osa(w, d) == 1]):
-                r.drive = r.drive or near[0]
+                r.trim, r.trim_sim = value, sim[0]
+            else:
+                r.rest.append(w)
+        elif kind == "near":
+            if r.drive is None:
+                r.drive = value
             else:
                 r.rest.append(w)
+        elif kind == "rest":
+            r.rest.append(w)
+        elif getattr(r, kind) is None:
+            setattr(r, kind, value)
     return r
 
 
