@@ -58,9 +58,7 @@ def fuel_category(c: Column) -> Column:
 
 def model_key(c: Column) -> Column:
     """The first word of a model; two where the first is a series word or one character."""
-    tk = word_array(normalize_text(c))
-    two = (F.size(tk) >= 2) & (tk[0].isin("clase", "serie") | (F.length(tk[0]) == 1))
-    return F.when(F.size(tk) == 0, F.lit("na")).when(two, F.concat_ws("_", tk[0], F.try_element_at(tk, F.lit(2)))).otherwise(F.try_element_at(tk, F.lit(1)))
+    return F.coalesce(F.nullif(F.regexp_extract(F.regexp_replace(normalize_text(c), "(?:^|_)na(?=_|$)", ""), "^_?((?:clase|serie|[a-z0-9])_[a-z0-9]+|[a-z0-9]+)", 1), F.lit("")), F.lit("na"))
 
 
 def joined_text(version: Column, title: Column, model: Column) -> Column:
@@ -68,10 +66,9 @@ def joined_text(version: Column, title: Column, model: Column) -> Column:
     return normalize_text(F.concat_ws(" ", part(version), part(title), part(model)))
 
 
-def variant_key(text: Column) -> Column:
-    """The engine variant in normalised text: a word's figure with one or two letters; two neighbouring words that make
-    one; a word of two or three digits."""
-    tk = word_array(text)
+def variant_key(tk: Column) -> Column:
+    """The engine variant in an array of words: a word's figure with one or two letters; two neighbouring words that make
+    one; a word of two or three digits. `tk` should be a column, not an expression: the lambdas read it at every word."""
     first = lambda arr: F.try_element_at(F.filter(arr, lambda x: x.isNotNull() & (x != "")), F.lit(1))
     a = first(F.transform(tk, lambda x: F.regexp_extract(x, r"(?:xdrive|sdrive)?(\d{2,3}[a-z]{1,2})$", 1)))
     nxt = lambda i, k: F.get(tk, i + k)
@@ -85,16 +82,24 @@ def variant_key(text: Column) -> Column:
     return F.coalesce(a, b, c, F.lit("na"))
 
 
-def engine_key(text: Column, fuel: Column, cc: Column) -> Column:
+def engine_key(text: Column, variant: Column, fuel: Column, cc: Column) -> Column:
     """Engine family, with the displacement in hundreds before it where it is known; `na` where neither is found."""
     family = F.when(fuel == "electric", F.lit("electric"))
     for pattern, name in ENGINE_FAMILIES:
         family = family.when(text.rlike(f"(?:^|_){pattern}(?:_|$)"), F.lit(name))
-    family = F.coalesce(family, F.nullif(variant_key(text), F.lit("na")))
+    family = F.coalesce(family, F.nullif(variant, F.lit("na")))
     band = (F.bround(cc / 100.0) * 100).cast("int")
     return F.when(family.isNull(), F.lit("na")).when((F.coalesce(cc, F.lit(0)) != 0) & (fuel != "electric"), F.concat(band.cast("string"), F.lit(":"), family)).otherwise(family)
 
 
+def with_engine(df: DataFrame) -> DataFrame:
+    """Adds text_n, tk, fuel, variant and engine, each a column of its own, so that Catalyst keeps the costly ones apart
+    and none is computed again inside another."""
+    df = df.withColumn("text_n", joined_text(F.col("version"), F.col("title"), F.col("model"))).withColumn("fuel", fuel_category(F.col("fuel_type")))
+    df = df.withColumn("tk", word_array(F.col("text_n"))).withColumn("variant", variant_key(F.col("tk")))
+    return df.withColumn("engine", engine_key(F.col("text_n"), F.col("variant"), F.col("fuel"), F.col("engine_displacement_cc")))
+
+
 def transmission_kind(c: Column) -> Column:
     n = normalize_text(c)
     out = F.lit(None).cast("string")
@@ -125,11 +130,10 @@ def effective_year(df: DataFrame) -> Column:
 
 
 def vehicle_signature(df: DataFrame) -> Column:
-    """Nine parts joined by a bar, a missing one as `na`."""
-    text = joined_text(F.col("version"), F.col("title"), F.col("model"))
+    """Nine parts joined by a bar, a missing one as `na`; over a frame from with_engine()."""
     num = lambda c: F.coalesce(c.cast("string"), F.lit("na"))
     battery = F.col("battery_capacity_kwh") if "battery_capacity_kwh" in df.columns else F.lit(None)
-    return F.concat_ws("|", normalize_text(F.col("make")), model_key(F.col("model")), variant_key(text), num(effective_year(df)), fuel_category(F.col("fuel_type")),
+    return F.concat_ws("|", normalize_text(F.col("make")), model_key(F.col("model")), F.col("variant"), num(effective_year(df)), F.col("fuel"),
                        num(F.col("power_hp")), num(F.col("engine_displacement_cc")), num(battery), normalize_text(F.col("transmission")))
 
 
@@ -143,4 +147,5 @@ def co2_memory_key(df: DataFrame) -> Column:
 
 
 def market_key(make: Column, model: Column, fuel: Column) -> Column:
-    return F.concat_ws("|", normalize_text(make), model_key(model), fuel_category(fuel))
+    """Make, model family and fuel category (already a category) joined by a bar."""
+    return F.concat_ws("|", normalize_text(make), model_key(model), fuel)

@@ -35,6 +35,8 @@ def _wide_table() -> tuple[str, str]:
     return wide + gone, plain
 
 
+#: Where the characters lie that decompose into several; ranges keep the pattern short.
+_SPREADING = "[\u00c6\u0132\u0133\u01c4\u2116\u2121\u2122\u2160-\u217f\u3371-\u33ff\ufb00-\ufb06]"
 LATIN, PLAIN, MANY = _decomposed()
 WIDE, NARROW = _wide_table()
 
@@ -49,7 +51,7 @@ def strip_accents(c: Column) -> Column:
     which decomposes into several take the longer way."""
     many = F.create_map(*[F.lit(x) for kv in MANY.items() for x in kv])
     spread = F.array_join(F.transform(F.split(c, ""), lambda x: F.coalesce(many[x], x)), "")
-    return F.translate(F.when(c.rlike("[" + "".join(MANY) + "]"), spread).otherwise(c), LATIN, PLAIN)
+    return F.translate(F.when(c.rlike(_SPREADING), spread).otherwise(c), LATIN, PLAIN)
 
 
 def normalize_text(c: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lonja.functions.keys import effective_year, engine_key, fuel_category, joined_text, model_key, power_hp, transmission_kind
+from lonja.functions.keys import effective_year, model_key, power_hp, transmission_kind, with_engine
 from lonja.functions.text import normalize_text
 
 # Limits of the levels.
@@ -20,14 +20,13 @@ BAND = 5  # years; targets look into the bands within YEARS["broad"]
 
 def keyed(df: DataFrame, id_col: str = "row_id") -> DataFrame:
     """The columns matching needs, one row a listing: identity keys, engine, year, mileage, gearbox, battery, price."""
-    text = joined_text(F.col("version"), F.col("title"), F.col("model"))
     battery = F.col("battery_capacity_kwh") if "battery_capacity_kwh" in df.columns else F.lit(None).cast("double")
-    base = df.select(
-        F.col(id_col).alias("id"), "source", "listing_id", normalize_text(F.col("make")).alias("make_n"), model_key(F.col("model")).alias("model_k"), fuel_category(F.col("fuel_type")).alias("fuel"),
-        text.alias("text"), F.col("engine_displacement_cc").alias("cc"), power_hp(F.col("power_hp"), F.col("power_kw")).alias("hp"), effective_year(df).alias("year"),
-        F.col("mileage_km").alias("km"), transmission_kind(F.col("transmission")).alias("tx"), battery.alias("kwh"), F.when(~F.isnan("price_eur"), F.col("price_eur")).alias("price"),
+    k = with_engine(df)
+    return k.select(
+        F.col(id_col).alias("id"), "source", "listing_id", normalize_text(F.col("make")).alias("make_n"), model_key(F.col("model")).alias("model_k"), "fuel",
+        F.col("engine_displacement_cc").alias("cc"), power_hp(F.col("power_hp"), F.col("power_kw")).alias("hp"), effective_year(df).alias("year"),
+        F.col("mileage_km").alias("km"), transmission_kind(F.col("transmission")).alias("tx"), battery.alias("kwh"), F.when(~F.isnan("price_eur"), F.col("price_eur")).alias("price"), "engine",
     )
-    return base.withColumn("engine", engine_key(F.col("text"), F.col("fuel"), F.col("cc"))).drop("text")
 
 
 def _delta(c: str) -> Column:

@@ -41,13 +41,12 @@ def text_keys(spark, d):
 
 
 def engine_keys(spark, d):
-    text = K.joined_text(F.col("version"), F.col("title"), F.col("model"))
-    return _l(spark, d).select("row_id", K.variant_key(text).alias("variant"), K.engine_key(text, K.fuel_category(F.col("fuel_type")), F.col("engine_displacement_cc")).alias("engine"))
+    return K.with_engine(_l(spark, d)).select("row_id", "variant", "engine")
 
 
 def vehicle_signature(spark, d):
-    df = _l(spark, d)
-    return df.select("row_id", K.vehicle_signature(df).alias("signature"), K.co2_memory_key(df).alias("memory_key"), K.market_key(F.col("make"), F.col("model"), F.col("fuel_type")).alias("market_key"))
+    df = K.with_engine(_l(spark, d))
+    return df.select("row_id", K.vehicle_signature(df).alias("signature"), K.co2_memory_key(df).alias("memory_key"), K.market_key(F.col("make"), F.col("model"), F.col("fuel")).alias("market_key"))
 
 
 def dedupe_best(spark, d):
