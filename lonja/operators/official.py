@@ -77,11 +77,11 @@ def latest_official(values: DataFrame, versions: DataFrame) -> DataFrame:
 
 def base_candidates(vehicles: DataFrame, official: DataFrame) -> DataFrame:
     """Every vehicle with the official rows of its brand and model word, in any period (equi-join on both)."""
-    q = normalize_official("modelo")
-    v = vehicles.select("vehiculo_id", F.upper(normalize_official("marca")).alias("brand_n"), q.alias("query"), F.year("fecha_primera_matriculacion").alias("year"), F.col("cilindrada_cc").alias("cc"), F.col("potencia_kw").alias("kw"), query_fuel(F.col("combustible"), q).alias("fuel"))
+    q = normalize_official(F.col("modelo"))
+    v = vehicles.select("vehiculo_id", F.upper(normalize_official(F.col("marca"))).alias("brand_n"), q.alias("query"), F.year("fecha_primera_matriculacion").alias("year"), F.col("cilindrada_cc").alias("cc"), F.col("potencia_kw").alias("kw"), query_fuel(F.col("combustible"), q).alias("fuel"))
     v = v.withColumn("head", model_head(F.col("query")))
-    n = normalize_official("model_type")
-    o = official.select(F.col("id").alias("boe_id"), F.upper(normalize_official("brand")).alias("o_brand"), n.alias("name"), model_head(n).alias("o_head"), "commercial_start", "commercial_end", "displacement_cc", fuel_family(F.col("fuel_code")).alias("o_fuel"), "power_kw", "value_eur", official_gearbox(n).alias("gearbox"))
+    n = normalize_official(F.col("model_type"))
+    o = official.select(F.col("id").alias("boe_id"), F.upper(normalize_official(F.col("brand"))).alias("o_brand"), n.alias("name"), model_head(n).alias("o_head"), "commercial_start", "commercial_end", "displacement_cc", fuel_family(F.col("fuel_code")).alias("o_fuel"), "power_kw", "value_eur", official_gearbox(n).alias("gearbox"))
     return v.join(o, (F.col("brand_n") == F.col("o_brand")) & (F.col("head") == F.col("o_head"))).drop("o_brand", "o_head")
 
 

@@ -26,7 +26,7 @@ def frequencies(df: DataFrame, columns: list[str]) -> DataFrame:
     """field, value, rows, percent of the rows: one pass over all columns (an unpivot before one aggregate)."""
     cells = F.array(*[F.struct(F.lit(c).alias("field"), F.coalesce(F.col(c).cast("string"), F.lit("(none)")).alias("value")) for c in columns])
     per = df.select(F.inline(cells)).groupBy("field", "value").agg(F.count("*").alias("rows"))
-    return per.withColumn("percent", F.bround(F.col("rows") * 100.0 / F.sum("rows").over(Window.partitionBy("field")), 2))
+    return per.withColumn("percent", F.bround((F.col("rows") * 100.0 / F.sum("rows").over(Window.partitionBy("field"))).cast("decimal(18,10)"), 2).cast("double"))
 
 
 def quartile_outliers(df: DataFrame, by: list[str], value: str) -> DataFrame:

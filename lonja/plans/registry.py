@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from lonja.plans import problems
+from lonja.plans import listing_queries, official_queries, problems, table_queries
 
-MODULES = (problems,)
-FLAGSHIP = problems.p1_found
+MODULES = (problems, listing_queries, official_queries, table_queries)
+FLAGSHIP = listing_queries.market_reference
 
 
 def queries() -> dict:
