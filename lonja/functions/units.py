@@ -117,9 +117,9 @@ def figure(c: Column, decimal_comma_only: Column | None = None) -> Column:
     dec = F.regexp_extract(tight, r"[.,](\d{1,2})$", 1)
     if decimal_comma_only is not None:
         dec = F.when(decimal_comma_only, F.regexp_extract(tight, r"[.,](\d+)$", 1)).otherwise(dec)
-    whole = F.when(dec != "", F.expr("1")).otherwise(F.lit(0))
-    head = F.when(whole == 1, F.regexp_replace(tight, r"[.,]\d+$", "")).otherwise(tight)
-    return F.concat(F.regexp_replace(head, "[.,]", ""), F.lit("."), F.when(dec != "", dec).otherwise(F.lit("0"))).try_cast("double")
+    head = F.when(dec != "", F.regexp_replace(tight, r"[.,]\d+$", "")).otherwise(tight)
+    number = F.concat(F.regexp_replace(head, "[.,]", ""), F.lit("."), F.when(dec != "", dec).otherwise(F.lit("0")))
+    return F.when(tight != "", number).try_cast("double")
 
 
 def _alternatives(words: dict[str, str]) -> str:

@@ -18,6 +18,7 @@ def local_session(cores: int = 8, partitions: int = 8, app: str = "lonja") -> Sp
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.driver.memory", "12g")
         .config("spark.ui.enabled", "false")
+        .config("spark.sql.python.filterPushdown.enabled", "true")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.warehouse.dir", tempfile.mkdtemp(prefix="lonja_wh_"))
         .getOrCreate()
