@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from lonja.session import delete_path, fresh_path, parallelism
 
+ROWS_PER_BUCKET = 100_000
 CHANGES = T.StructType([
     T.StructField("source", T.StringType()), T.StructField("listing_id", T.StringType()), T.StructField("change_kind", T.StringType()),
     T.StructField("old_cents", T.LongType()), T.StructField("new_cents", T.LongType()),
@@ -61,7 +62,9 @@ def snapshot_changes(snapshots: DataFrame) -> DataFrame:
     differs (which also settles hash collisions), and the index is swapped. Empty input gives an empty result.
     """
     spark = snapshots.sparkSession
-    buckets = parallelism(spark)
+    # one bucket for ROWS_PER_BUCKET rows of a delivery or so, within the session's parallelism, so that small tables do not
+    # become many tiny files
+    buckets = max(1, min(parallelism(spark), max(8, -(-snapshots.count() // ROWS_PER_BUCKET))))
     name, path = f"lonja_deliveries_{uuid.uuid4().hex[:12]}", fresh_path(spark, "deliveries")
     prepared = prepare_deliveries(snapshots).withColumn("h", F.xxhash64(F.coalesce("cents", F.lit(-1)), F.col("cents").isNull()))
     prepared = prepared.repartition(buckets, "source", "listing_id")
