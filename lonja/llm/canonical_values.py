@@ -16,8 +16,6 @@ from lonja.session import materialise
 
 #: Accept by cosine alone from this score, this far ahead of the next entry.
 THRESHOLD, MARGIN = 0.50, 0.12
-#: Candidates kept for the edit-distance check of what the cosine leaves open.
-CANDIDATES = 8
 GRAM_WEIGHT = {"2": 1.0, "3": 1.0, "s": 0.7}
 
 # Public words for the fuels of vehicles in English, German, Spanish, French, Italian, Polish and Swedish.
@@ -108,8 +106,8 @@ def map_values(values: DataFrame, canon: DataFrame, aliases: dict[str, dict[str,
 
     Values are deduplicated, normalised, looked up in the inverted index of the reference spellings' grams and scored by
     cosine with inverse-frequency weights. Accepted: an equal normal form; a cosine of at least THRESHOLD that leads the
-    next entry by MARGIN; or, among the best CANDIDATES, the only entry at the least edit distance, if that is at most a
-    third of its length. All else is -1. Empty values and values without letters or digits are -1. Ties between entries
+    next entry by MARGIN; or, among all entries that share a gram, the only one at the least edit distance, if that is at
+    most a third of its length. All else is -1. Empty values and values without letters or digits are -1. Ties between entries
     give -1. An empty table gives an empty result; repeated rows are mapped once.
     """
     distinct = values.where(F.col("value").isNotNull()).select("list_name", "value").distinct().withColumn("norm", normal_udf("value"))
@@ -131,11 +129,13 @@ def map_values(values: DataFrame, canon: DataFrame, aliases: dict[str, dict[str,
     qlen = qv.groupBy("list_name", "norm").agg(F.sqrt(F.sum(F.col("qw") * F.col("qw"))).alias("qlen"))
     dots = qv.join(index, ["list_name", "gram"]).groupBy("list_name", "norm", "form_id", "canon_id", "form", "kind").agg(F.sum(F.col("qw") * F.col("fw")).alias("dot"))
     cos = dots.join(lens, ["list_name", "form_id"]).join(qlen, ["list_name", "norm"]).withColumn("score", F.col("dot") / (F.col("flen") * F.col("qlen")))
-    best = cos.groupBy("list_name", "norm", "canon_id").agg(F.max(F.struct("score", "form", "kind")).alias("b")).select("list_name", "norm", "canon_id", "b.*")
+    # the edit distance is that of an entry's nearest spelling, for every entry that shares a gram
+    cos = cos.withColumn("dist", osa_udf("norm", "form"))
+    nearest = F.struct("dist", (-F.col("score")).alias("neg"), F.length("form").alias("len"), "kind")
+    best = cos.groupBy("list_name", "norm", "canon_id").agg(F.max("score").alias("score"), F.min(nearest).alias("e"))
     w = Window.partitionBy("list_name", "norm").orderBy(F.desc("score"), "canon_id")
-    top = best.withColumn("rk", F.row_number().over(w)).where(F.col("rk") <= CANDIDATES)
-    top = top.withColumn("dist", osa_udf("norm", "form"))
-    near = F.struct("dist", (-F.col("score")).alias("neg"), "canon_id", F.length("form").alias("len"), "kind")
+    top = best.withColumn("rk", F.row_number().over(w))
+    near = F.struct("e.dist", "e.neg", "canon_id", "e.len", "e.kind")
     per = top.groupBy("list_name", "norm").agg(
         F.max(F.when(F.col("rk") == 1, F.col("score"))).alias("s1"), F.max(F.when(F.col("rk") == 1, F.col("canon_id"))).alias("id1"),
         F.coalesce(F.max(F.when(F.col("rk") == 2, F.col("score"))), F.lit(0.0)).alias("s2"), F.array_sort(F.collect_list(near)).alias("near"),
