@@ -3,45 +3,76 @@
 from __future__ import annotations
 
 import functools
+import math
 import re
 import unicodedata
+from collections import Counter
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lonja.functions.keys import ELECTRIC_TOKENS, FUEL_TOKENS, GASOLINE_TOKENS, PLUG_TOKENS
 from lonja.llm.canon_text import canonical
 from lonja.session import materialise
 
-#: Accept by cosine alone from this score, this far ahead of the next entry.
-THRESHOLD, MARGIN = 0.50, 0.12
-GRAM_WEIGHT = {"2": 1.0, "3": 1.0, "s": 0.7}
-
-# Public words for the fuels of vehicles in English, German, Spanish, French, Italian, Polish and Swedish.
+#: A value is an entry from this cosine on, this far ahead of the next entry.
+THRESHOLD, MARGIN = 0.24, 0.03
+#: From this cosine and margin on it is taken as it stands; below, the edit distance has to confirm it.
+SURE, SURE_MARGIN = 0.50, 0.12
+#: Grams: letters, pairs, triples, pairs around a letter, and pairs and triples in alphabetic order, which a swap leaves as they are.
+GRAM_WEIGHT = {"1": 1.0, "2": 0.5, "3": 0.3, "s": 0.7, "o": 1.0, "t": 1.0}
+#: Longest run of words of a value that is looked up on its own, in lists whose values are described in several words.
+MOST_WORDS = 3
+
+# The words by which the listings' fuel categories are told (lonja.functions.keys), and beside them one plain
+# word a language: the head words and synonyms of the public encyclopedia's articles on each fuel or drive in English, German,
+# Spanish, French, Italian, Polish and Swedish; the pump labels of EN 16942; the usual abbreviations of drives. No phrases.
 FUEL_WORDS = {
-    "gasoline": ["gasoline", "gasolina", "gasolina 98", "gasolina sin plomo 95", "gasolina s/plomo 95", "gasolina apto E10", "petrol", "petrol unleaded", "benzin", "benziner", "ottomotor benzin", "otto", "bencina", "essence", "bensin", "benzina", "super", "super E10"],
-    "diesel": ["diesel", "gasoil", "gas-oil", "gasóleo", "gazole", "turbodiesel", "dieselmotor", "diesel partikelfilter", "diesel euro6", "diesel B7", "nafta diesel"],
-    "electric": ["electric", "eléctrico", "100% eléctrico", "batería eléctrica", "elektro", "elektrisch", "vollelektrisch", "elektroantrieb", "elektr.", "strom", "EV", "BEV", "électrique", "elettrica"],
-    "hybrid": ["hybrid", "híbrido", "híbrido gasolina", "híbrido no enchufable", "hybride", "hybryd", "hybrid benzin/elektro", "diesel-hybrid", "vollhybrid", "mild hybrid", "48V mildhybrid", "HEV", "MHEV", "HYB"],
-    "phev": ["phev", "plug-in hybrid", "plug-in hyb.", "plug in hybrid benzin", "híbrido enchufable", "híbrido ench.", "híbrido enchuf. gasolina", "enchufable", "steckdosenhybrid", "hybride rechargeable"],
-    "lpg": ["lpg", "glp", "gpl", "autogas", "autogas LPG", "autogaz", "flüssiggas", "gas licuado", "bifuel GLP", "gasolina/GLP"],
-    "cng": ["cng", "gnc", "erdgas", "erdgas CNG", "gas natural", "gas natural comprimido", "gas nat. comprimido", "methan", "metano"],
-    "hydrogen": ["hydrogen", "hidrógeno", "wasserstoff", "hydrogène", "brennstoffzelle", "fuel cell", "pila de combustible"],
-    "ethanol": ["ethanol", "etanol", "bioethanol", "E85", "flexifuel", "flex fuel"],
+    "gasoline": [*GASOLINE_TOKENS, "bencina", "nafta", "essence", "benzina", "benzyna", "bensin", "Ottomotor", "Ottokraftstoff", "E5", "E10"],
+    "diesel": ["diesel", "gasóleo", "gasoil", "gazole", "gasolio", "olej napędowy", "Dieselkraftstoff", "B7", "B10"],
+    "electric": [*ELECTRIC_TOKENS, "eléctrico", "électrique", "elettrico", "elektryczny", "elektro", "EV", "BEV"],
+    "hybrid": ["hybrid", "híbrido", "hybride", "ibrido", "hybryda", "HEV", "MHEV"],
+    "phev": [*PLUG_TOKENS, "plug-in hybrid", "híbrido enchufable", "hybride rechargeable", "Steckdosenhybrid", "PHEV"],
+    "lpg": [*FUEL_TOKENS["lpg"], "GPL", "autogaz", "gas licuado de petróleo"],
+    "cng": [*FUEL_TOKENS["cng"], "gas natural", "gas natural comprimido", "gaz naturel"],
+    "hydrogen": [*FUEL_TOKENS["hydrogen"], "hydrogène", "idrogeno", "wodór", "FCEV", "H2"],
+    "ethanol": [*FUEL_TOKENS["ethanol"], "éthanol", "bioethanol", "E85"],
 }
+# Which fuel decides where a value names several, as for the listings' fuel categories.
+FUEL_ORDER = ["phev", "lpg", "cng", "hydrogen", "ethanol", "hybrid", "diesel", "gasoline", "electric"]
+# Words of negation; what follows one is not what the value names.
+NEGATIONS = {"no", "not", "sin", "nicht", "ohne", "kein", "without", "sans", "non", "senza", "bez", "utan"}
 
 
 @functools.lru_cache(20_000)
-def normal(v: str | None) -> str | None:
-    """One consistent, lower-case, unaccented form without decoration: a leading label, bracketed notes, a trailing note
-    after a spaced slash. Letters, digits and dots are kept."""
-    if v is None:
-        return None
+def plain_words(v: str) -> tuple[str, ...]:
+    """Words of the consistent, lower-case, unaccented form, without decoration: a leading label, bracketed notes, a trailing
+    note after a spaced slash. Words are runs of letters and digits."""
     s = canonical(v).lower().replace("ß", "ss").replace("ø", "o").replace("æ", "ae").replace("ł", "l").replace("đ", "d")
     s = "".join(ch for ch in unicodedata.normalize("NFKD", s) if not unicodedata.combining(ch))
     bare = re.sub(r"\s/\s.*$", " ", re.sub(r"\([^)]*\)", " ", re.sub(r"^\s*[^\W\d]+\s*:\s*", "", s)))
-    return re.sub(r"[^a-z0-9]+", "", bare) or re.sub(r"[^a-z0-9]+", "", s)
+    return tuple(re.findall(r"[a-z0-9]+", bare) or re.findall(r"[a-z0-9]+", s))
+
+
+def normal(v: str | None) -> str | None:
+    """The plain words of a value as one."""
+    return None if v is None else "".join(plain_words(v))
+
+
+def runs(v: str, most: int = MOST_WORDS) -> list[str]:
+    """What a value of several words is looked up by: its runs of up to `most` neighbouring words, each as one, without
+    words that a negation precedes; and the whole."""
+    w = plain_words(v)
+    kept = [None if x in NEGATIONS or (i and w[i - 1] in NEGATIONS) else x for i, x in enumerate(w)]
+    out = ["".join(part) for n in range(1, most + 1) for i in range(len(w) - n + 1) if None not in (part := kept[i : i + n])]
+    return list(dict.fromkeys([*out, *([normal(v)] if None not in kept else [])]))
+
+
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def runs_udf(s: pd.Series) -> pd.Series:
+    return s.map(runs, na_action="ignore").astype(object).where(s.notna(), None)
 
 
 @F.pandas_udf(T.StringType())
@@ -67,25 +98,27 @@ def osa_udf(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([osa(x, y) for x, y in zip(a, b)], dtype="int32")
 
 
-def grams(c: Column) -> Column:
-    """Array of typed grams of a padded string: pairs, triples, and pairs with one character left out between."""
-    p = F.concat(F.lit("^"), c, F.lit("$"))
+def grams(text: str) -> dict[str, float]:
+    """The typed grams of a text, padded but for single letters, with the square root of their weighted number."""
+    p, count = f"^{text}$", Counter()
+    for kind, of, width, pick in (
+        ("1", text, 1, None), ("2", p, 2, None), ("3", p, 3, None), ("s", p, 3, lambda g: g[0] + g[2]),
+        ("o", p, 2, lambda g: "".join(sorted(g))), ("t", p, 3, lambda g: "".join(sorted(g))),
+    ):
+        for i in range(len(of) - width + 1):
+            g = of[i : i + width]
+            count[kind + (pick(g) if pick else g)] += GRAM_WEIGHT[kind]
+    return {g: math.sqrt(x) for g, x in count.items()}
 
-    def windows(kind: str, width: int, pick) -> Column:
-        idx = F.when(F.length(p) >= width, F.sequence(F.lit(1), F.length(p) - (width - 1))).otherwise(F.array().cast("array<int>"))
-        return F.transform(idx, lambda i: F.concat(F.lit(kind), pick(i)))
 
-    return F.concat(
-        windows("2", 2, lambda i: F.substring(p, i, F.lit(2))), windows("3", 3, lambda i: F.substring(p, i, F.lit(3))),
-        windows("s", 3, lambda i: F.concat(F.substring(p, i, F.lit(1)), F.substring(p, i + 2, F.lit(1)))),
-    )
+@F.pandas_udf(T.ArrayType(T.StructType([T.StructField("gram", T.StringType()), T.StructField("w", T.DoubleType())])))
+def grams_udf(s: pd.Series) -> pd.Series:
+    return s.map(lambda x: [{"gram": g, "w": w} for g, w in grams(x).items()])
 
 
 def _vectors(df: DataFrame, keys: list[str], text: str) -> DataFrame:
-    """keys, gram, w: the square root of the weighted count of each gram."""
-    kind = F.substring("gram", 1, 1)
-    wt = F.when(kind == "s", GRAM_WEIGHT["s"]).otherwise(1.0)
-    return df.select(*keys, F.explode(grams(F.col(text))).alias("gram")).groupBy(*keys, "gram").agg(F.sqrt(F.sum(wt)).alias("w"))
+    """keys, gram, w; distinct short values only, so their grams are made in Arrow batches, linear in their length."""
+    return df.select(*keys, F.inline(grams_udf(text)))
 
 
 def reference_forms(canon: DataFrame, aliases: dict[str, dict[str, list[str]]] | None = None) -> DataFrame:
@@ -101,55 +134,59 @@ def reference_forms(canon: DataFrame, aliases: dict[str, dict[str, list[str]]] |
     return forms.groupBy("list_name", "canon_id", "form").agg(F.max("kind").alias("kind")).withColumn("form_id", F.monotonically_increasing_id())
 
 
-def map_values(values: DataFrame, canon: DataFrame, aliases: dict[str, dict[str, list[str]]] | None = None) -> DataFrame:
+def map_values(values: DataFrame, canon: DataFrame, aliases: dict[str, dict[str, list[str]]] | None = None, order: dict[str, list[str]] | None = None) -> DataFrame:
     """list_name, value -> canon_id (or -1), score, how, for each distinct non-null value of `values(list_name, value)`.
 
     Values are deduplicated, normalised, looked up in the inverted index of the reference spellings' grams and scored by
     cosine with inverse-frequency weights. Accepted: an equal normal form; a cosine of at least THRESHOLD that leads the
-    next entry by MARGIN; or, among all entries that share a gram, the only one at the least edit distance, if that is at
-    most a third of its length. All else is -1. Empty values and values without letters or digits are -1. Ties between entries
-    give -1. An empty table gives an empty result; repeated rows are mapped once.
+    next entry by MARGIN, which an edit distance of at most a third of the entry's length must confirm below SURE or
+    SURE_MARGIN. In a list that `order` names, the runs of words of a value are looked up on their own and, where they name
+    several entries, the first in that order is meant. All else is -1. Empty values and values without letters or digits
+    are -1. Ties between entries give -1. An empty table gives an empty result; repeated rows are mapped once.
     """
+    order = order or {}
     distinct = values.where(F.col("value").isNotNull()).select("list_name", "value").distinct().withColumn("norm", normal_udf("value"))
     distinct = materialise(distinct, "values")
     forms = materialise(reference_forms(canon, aliases), "forms")
 
     exact = distinct.join(forms.withColumnRenamed("form", "norm"), ["list_name", "norm"]).groupBy("list_name", "norm").agg(F.min("canon_id").alias("a"), F.max("canon_id").alias("b"))
     exact = exact.select("list_name", "norm", F.when(F.col("a") == F.col("b"), F.col("a")).otherwise(F.lit(-1)).alias("exact_id"))
-    todo = distinct.select("list_name", "norm").distinct().join(exact, ["list_name", "norm"], "left_anti").where(F.col("norm") != "")
+    todo = distinct.join(exact, ["list_name", "norm"], "left_anti").where(F.col("norm") != "")
+    keys = F.when(F.col("list_name").isin(*order), runs_udf("value")).otherwise(F.array("norm")) if order else F.array("norm")
+    todo = materialise(todo.select("list_name", "value", F.explode(keys).alias("q")), "runs")
 
-    fv = _vectors(forms.where("kind <> 'initials'"), ["list_name", "canon_id", "form_id", "form", "kind"], "form")
-    n = forms.where("kind <> 'initials'").groupBy("list_name").agg(F.countDistinct("form_id").alias("n"))
+    index_forms = forms.where("kind <> 'initials'")
+    fv = _vectors(index_forms, ["list_name", "canon_id", "form_id", "form", "kind"], "form")
+    n = index_forms.groupBy("list_name").agg(F.countDistinct("form_id").alias("n"))
     idf = fv.groupBy("list_name", "gram").agg(F.countDistinct("form_id").alias("df")).join(n, "list_name").select("list_name", "gram", F.log1p(F.col("n") / (F.col("df") + 0.5)).alias("idf"))
     index = fv.join(idf, ["list_name", "gram"]).withColumn("fw", F.col("w") * F.col("idf")).drop("w", "idf")
     lens = index.groupBy("list_name", "form_id").agg(F.sqrt(F.sum(F.col("fw") * F.col("fw"))).alias("flen"))
 
-    qv = _vectors(todo, ["list_name", "norm"], "norm").join(idf, ["list_name", "gram"], "left").join(n, "list_name")
-    qv = qv.withColumn("qw", F.when(F.col("idf").isNotNull(), F.col("w") * F.col("idf")).otherwise(0.6 * F.sqrt("w") * F.log1p(F.col("n") / 1.5))).select("list_name", "norm", "gram", "qw")
-    qlen = qv.groupBy("list_name", "norm").agg(F.sqrt(F.sum(F.col("qw") * F.col("qw"))).alias("qlen"))
-    dots = qv.join(index, ["list_name", "gram"]).groupBy("list_name", "norm", "form_id", "canon_id", "form", "kind").agg(F.sum(F.col("qw") * F.col("fw")).alias("dot"))
-    cos = dots.join(lens, ["list_name", "form_id"]).join(qlen, ["list_name", "norm"]).withColumn("score", F.col("dot") / (F.col("flen") * F.col("qlen")))
-    # the edit distance is that of an entry's nearest spelling, for every entry that shares a gram
-    cos = cos.withColumn("dist", osa_udf("norm", "form"))
-    nearest = F.struct("dist", (-F.col("score")).alias("neg"), F.length("form").alias("len"), "kind")
-    best = cos.groupBy("list_name", "norm", "canon_id").agg(F.max("score").alias("score"), F.min(nearest).alias("e"))
-    w = Window.partitionBy("list_name", "norm").orderBy(F.desc("score"), "canon_id")
-    top = best.withColumn("rk", F.row_number().over(w))
-    near = F.struct("e.dist", "e.neg", "canon_id", "e.len", "e.kind")
-    per = top.groupBy("list_name", "norm").agg(
-        F.max(F.when(F.col("rk") == 1, F.col("score"))).alias("s1"), F.max(F.when(F.col("rk") == 1, F.col("canon_id"))).alias("id1"),
-        F.coalesce(F.max(F.when(F.col("rk") == 2, F.col("score"))), F.lit(0.0)).alias("s2"), F.array_sort(F.collect_list(near)).alias("near"),
-    )
-    a, b = F.try_element_at("near", F.lit(1)), F.try_element_at("near", F.lit(2))
-    by_cos = (F.col("s1") >= THRESHOLD) & (F.col("s1") - F.col("s2") >= MARGIN)
-    limit = F.when(a.kind == "own", F.greatest(F.lit(2.0), F.round(a.len * 0.34))).otherwise(F.floor(a.len / 5.0))
-    by_edit = (a.dist <= limit) & (a.dist * 2 <= a.len) & (b.isNull() | (b.dist > a.dist))
-    scored = per.select("list_name", "norm", F.when(by_cos, F.col("id1")).when(by_edit, a.canon_id).otherwise(F.lit(-1)).alias("scored_id"), "s1", F.when(by_cos, F.lit("cosine")).when(by_edit, F.lit("edit")).otherwise(F.lit("none")).alias("how1"))
+    qv = _vectors(todo.select("list_name", "q").distinct(), ["list_name", "q"], "q").join(idf, ["list_name", "gram"], "left").join(n, "list_name")
+    qv = qv.withColumn("qw", F.when(F.col("idf").isNotNull(), F.col("w") * F.col("idf")).otherwise(0.6 * F.col("w") * F.log1p(F.col("n") / 1.5))).select("list_name", "q", "gram", "qw")
+    qlen = qv.groupBy("list_name", "q").agg(F.sqrt(F.sum(F.col("qw") * F.col("qw"))).alias("qlen"))
+    dots = qv.join(index, ["list_name", "gram"]).groupBy("list_name", "q", "form_id", "canon_id", "form", "kind").agg(F.sum(F.col("qw") * F.col("fw")).alias("dot"))
+    cos = dots.join(lens, ["list_name", "form_id"]).join(qlen, ["list_name", "q"]).withColumn("score", F.col("dot") / (F.col("flen") * F.col("qlen")))
+    best = cos.groupBy("list_name", "q", "canon_id").agg(F.max(F.struct("score", "form")).alias("b")).select("list_name", "q", "canon_id", "b.score", "b.form")
+    w = Window.partitionBy("list_name", "q").orderBy(F.desc("score"), "canon_id")
+    top = best.withColumn("next", F.coalesce(F.lead("score").over(w), F.lit(0.0))).withColumn("rk", F.row_number().over(w)).where("rk = 1")
+    top = top.where((F.col("score") >= THRESHOLD) & (F.col("score") - F.col("next") >= MARGIN))
+    sure = (F.col("score") >= SURE) & (F.col("score") - F.col("next") >= SURE_MARGIN)
+    dist, size = osa_udf("q", "form"), F.length("form")
+    near = (F.col("dist") <= F.greatest(F.lit(2.0), F.round(size * 0.34))) & (F.col("dist") * 2 <= size)
+    named = top.withColumn("dist", dist).where(sure | near)
+    first = F.lit(0)
+    for lst, entries in order.items():
+        for i, e in enumerate(entries):
+            first = F.when((F.col("list_name") == lst) & (F.col("canon_value") == e), i).otherwise(first)
+    named = named.join(canon.select("list_name", "canon_id", "canon_value"), ["list_name", "canon_id"]).withColumn("first", first)
+    scored = todo.join(named, ["list_name", "q"]).groupBy("list_name", "value").agg(F.min(F.struct("first", (-F.col("score")).alias("neg"), "canon_id")).alias("b"))
+    scored = scored.select("list_name", "value", F.col("b.canon_id").alias("scored_id"), (-F.col("b.neg")).alias("s1"))
     return (
-        distinct.join(exact, ["list_name", "norm"], "left").join(scored, ["list_name", "norm"], "left")
+        distinct.join(exact, ["list_name", "norm"], "left").join(scored, ["list_name", "value"], "left")
         .select("list_name", "value", F.coalesce("exact_id", "scored_id", F.lit(-1)).cast("long").alias("canon_id"),
                 F.when(F.col("exact_id").isNotNull(), 1.0).otherwise(F.coalesce("s1", F.lit(0.0))).alias("score"),
-                F.when(F.col("exact_id").isNotNull(), F.lit("equal")).otherwise(F.coalesce("how1", F.lit("none"))).alias("how"))
+                F.when(F.col("exact_id").isNotNull(), F.lit("equal")).when(F.col("scored_id").isNotNull(), F.lit("cosine")).otherwise(F.lit("none")).alias("how"))
     )
 
 
@@ -158,14 +195,14 @@ def _casefold(c: Column) -> Column:
     return F.lower(F.replace(c, F.lit("ß"), F.lit("ss")))
 
 
-def inexact_values(rows: DataFrame, canon: DataFrame, aliases: dict[str, dict[str, list[str]]] | None = None) -> DataFrame:
+def inexact_values(rows: DataFrame, canon: DataFrame, aliases: dict[str, dict[str, list[str]]] | None = None, order: dict[str, list[str]] | None = None) -> DataFrame:
     """field, row_id, canon_id of the rows(field, list_name, row_id, value) whose value is not, letter case aside, an entry.
 
     The most frequent values, which are entries as they stand, never reach the join; the rest is joined with the mapping
     of distinct values, which AQE splits where one value is hot."""
     entries = canon.select(F.col("list_name").alias("e_list"), _casefold(F.col("canon_value")).alias("e_value")).distinct()
     rest = rows.where(F.col("value").isNotNull()).join(entries, (F.col("list_name") == F.col("e_list")) & (_casefold(F.col("value")) == F.col("e_value")), "left_anti")
-    mapped = map_values(rest, canon, aliases)
+    mapped = map_values(rest, canon, aliases, order)
     return rest.join(mapped, ["list_name", "value"]).select("field", "row_id", "canon_id")
 
 
@@ -177,4 +214,4 @@ def typed_rows(listings: DataFrame, boe: DataFrame) -> DataFrame:
     )
 
 
-ALIASES = {"fuel_type": FUEL_WORDS}
+ALIASES, ORDER = {"fuel_type": FUEL_WORDS}, {"fuel_type": FUEL_ORDER}
