@@ -1,16 +1,21 @@
 """Visually identical text with different characters: one consistent form.
 
-A longest-match transducer over grapheme clusters. Its table is compiled by rule from the Unicode data: compatibility
-forms and widths, composition, invisible characters, spaces and hyphens; look-alike letters of another script are
-resolved at the end of each word. The table is checked for conflicts: one output per key, and no output holds a key.
+A longest-match transducer over grapheme clusters, compiled into one table. Its keys are single characters (compatibility
+forms, widths, spaces, hyphens, invisible characters) and sequences (a letter with its marks in every order, half-width
+letters with sound marks, jamo, look-alike letters with marks), each in a context: none, or the script that the word
+settles. Invisible characters loop within a key, so `e`, zero-width joiner, acute is one match. A mark that does not stand
+next to its letter is matched over the marks between, as UTS #10 S2.1 matches discontiguous sequences. The table is checked
+for conflicts: one output a key, and no output that the transducer changes again.
 """
 
 from __future__ import annotations
 
 import functools
+import itertools
 import re
 import sys
 import unicodedata
+from collections import Counter
 
 import pandas as pd
 import regex
@@ -35,14 +40,15 @@ def _invisible(ch: str) -> bool:
 
 
 def _one(ch: str) -> str:
-    """Output of a single character, by the layers in order: invisible, spaces, hyphens, compatibility."""
+    """Output of a single character by the layers in order: spaces, invisible, hyphens, compatibility; closed under itself."""
     if ch in _KEPT_CONTROLS or unicodedata.category(ch) in ("Zs", "Zl", "Zp"):
         return " "
     if _invisible(ch):
         return ""
     if ch in HYPHENS:
         return "-"
-    return unicodedata.normalize("NFKC", ch)
+    out = unicodedata.normalize("NFKC", ch)
+    return out if out == ch else "".join(_one(x) for x in out)
 
 
 class ConflictError(ValueError):
@@ -50,115 +56,236 @@ class ConflictError(ValueError):
 
 
 class Transducer:
-    """Trie over code points; the longest key that matches at a place gives the output."""
-
-    def __init__(self, pairs: dict[str, str]):
-        self.root: dict = {}
-        for key, out in pairs.items():
-            self.add(key, out)
-        self.check(pairs)
-
-    def add(self, key: str, out: str) -> None:
-        node = self.root
-        for ch in key:
-            node = node.setdefault(ch, {})
-        if node.get("", out) != out:
-            raise ConflictError(f"two outputs for {key!r}")
-        node[""] = out
-
-    def check(self, pairs: dict[str, str]) -> None:
-        for key, out in pairs.items():
-            if out != key and self.apply(out) != out:
-                raise ConflictError(f"the output of {key!r} holds a key")
-
-    def match(self, text: str, i: int) -> tuple[int, str] | None:
-        node, found = self.root, None
-        while i < len(text) and (node := node.get(text[i])) is not None:
-            i += 1
+    """Trie over code points, one root a context; the longest key that matches at a place gives the output. A context falls
+    back on the keys without one, which its root holds too. Characters of `loops` may stand anywhere within a key."""
+
+    def __init__(self, pairs: dict[str, str], contexts: dict[str, dict[str, str]] | None = None, loops: frozenset = frozenset()):
+        self.loops, self.roots = loops, {}
+        for context, own in {"": {}, **(contexts or {})}.items():
+            merged = {**pairs, **own}
+            root = self.roots[context] = {}
+            for key, out in merged.items():
+                node = root
+                for ch in key:
+                    node = node.setdefault(ch, {})
+                node[""] = out
+        for context, own in {"": pairs, **(contexts or {})}.items():
+            for key, out in own.items():
+                if self.apply(out, context) != out:
+                    raise ConflictError(f"the output of {key!r} holds a key")
+
+    def match(self, text: str, i: int, root: dict) -> tuple[int, str] | None:
+        node, found = root, None
+        while i < len(text):
+            step = node.get(text[i])
+            if step is None:
+                if node is root or text[i] not in self.loops:
+                    break
+                i += 1
+                continue
+            node, i = step, i + 1
             if "" in node:
                 found = (i, node[""])
         return found
 
-    def apply(self, text: str) -> str:
-        out, i = [], 0
+    def apply(self, text: str, context: str = "") -> str:
+        root, out, i = self.roots[context], "", 0
         while i < len(text):
-            hit = self.match(text, i)
-            out.append(hit[1] if hit else text[i])
-            i = hit[0] if hit else i + 1
-        return "".join(out)
+            if _is_mark(text[i]):
+                hit = (i, "")
+            else:
+                hit = self.match(text, i, root) or (i + 1, text[i])
+            piece, i = hit[1], hit[0]
+            if i < len(text) and (piece or hit[0] < len(text)) and (_is_mark(text[i]) or (piece and text[i] in self.loops)):
+                piece, i = self._marks(piece, text, i, root)
+            # a syllable may be made of two outputs
+            if out and piece and (joined := self._key(root, out[-1] + piece[0])) is not None and not _is_mark(piece[0]):
+                out, piece = out[:-1] + joined, piece[1:]
+            out += piece
+        return out
+
+    def _key(self, root: dict, pair: str) -> str | None:
+        return root.get(pair[0], {}).get(pair[1], {}).get("")
+
+    def _marks(self, piece: str, text: str, i: int, root: dict) -> tuple[str, int]:
+        """The marks that follow, in canonical order, joined to the letter one after another where a key says so; a mark is
+        blocked by one before it that was left over and has the same class (UTS #10 S2.1.1 to S2.1.3)."""
+        marks = []
+        while i < len(text) and (_is_mark(text[i]) or text[i] in self.loops):
+            one = root.get(text[i], {}).get("", text[i])
+            marks += [c for x in one for c in unicodedata.normalize("NFD", x)]
+            i += 1
+        if not piece:
+            return "".join(sorted(marks, key=unicodedata.combining)), i
+        # the letter comes apart as well, for a mark may belong below one that it already holds
+        at = len(piece) - 1
+        while at and _is_mark(piece[at]):
+            at -= 1
+        letter = unicodedata.normalize("NFD", piece[at:])
+        if any(unicodedata.combining(m) == 0 for m in letter[1:]):  # a syllable, which takes no mark in
+            letter = piece[at:]
+        marks = sorted([*letter[1:], *marks], key=unicodedata.combining)
+        own = letter = letter[0]
+        rest, last = [], 0
+        for m in marks:
+            joined = self._key(root, letter + m) if unicodedata.combining(m) > last or not rest else None
+            if joined is not None and len(joined) == 1:
+                letter = joined
+            else:
+                rest.append(m)
+                last = unicodedata.combining(m)
+        if letter == own:
+            letter = root.get(own, {}).get("", own)
+        return piece[:at] + letter + "".join(rest), i
+
+
+@functools.lru_cache(4_000)
+def _is_mark(ch: str) -> bool:
+    return unicodedata.combining((_one(ch) or " ")[0]) != 0
+
+
+def _put(keys: dict[str, str], key: str, out: str) -> None:
+    if keys.setdefault(key, out) != out:
+        raise ConflictError(f"two outputs for {key!r}")
+
+
+def _sequences() -> dict[str, str]:
+    """Multi-character keys by rule: each composed character from its full and partial decompositions, and a plain letter
+    with each half-width sound mark."""
+    out: dict[str, str] = {}
+    for code in range(0xC0, sys.maxunicode + 1):
+        if 0xD800 <= code <= 0xDFFF:
+            continue
+        ch = chr(code)
+        parts = unicodedata.decomposition(ch)
+        if parts and parts[0] != "<" and unicodedata.normalize("NFC", ch) == ch:
+            pair = "".join(chr(int(x, 16)) for x in parts.split())
+            full = unicodedata.normalize("NFD", ch)
+            for key in {pair, full, *(full[0] + "".join(p) for p in itertools.permutations(full[1:]) if unicodedata.normalize("NFC", full[0] + "".join(p)) == ch)}:
+                _put(out, key, _one(ch))
+    for code in range(0xFF66, 0xFF9E):
+        for mark in "\uff9e\uff9f":
+            both = unicodedata.normalize("NFKC", chr(code) + mark)
+            if len(both) == 1:
+                _put(out, chr(code) + mark, both)
+    # jamo: a syllable of two or three, by the rule of the standard
+    for lead in range(19):
+        for vowel in range(21):
+            two = chr(0xAC00 + (lead * 21 + vowel) * 28)
+            _put(out, chr(0x1100 + lead) + chr(0x1161 + vowel), two)
+            for tail in range(1, 28):
+                three, last = chr(ord(two) + tail), chr(0x11A7 + tail)
+                _put(out, two + last, three)
+                _put(out, chr(0x1100 + lead) + chr(0x1161 + vowel) + last, three)
+    return out
+
+
+def _lookalike_keys(source: dict[str, str], sequences: dict[str, str], single: dict[str, str]) -> dict[str, str]:
+    """Keys of one context: look-alike letters of other scripts, alone and with the marks their partner takes. A composed
+    letter whose base is a look-alike is one, too, and so is a compatibility form of one."""
+    out = dict(source)
+    for ch, plain in single.items():
+        if any(x in source for x in plain):
+            _put(out, ch, "".join(source.get(x, x) for x in plain))
+    for key, ch in sequences.items():
+        if len(key) >= 2 and key[0].isascii():
+            for a, b in source.items():
+                if b == key[0]:
+                    _put(out, a + key[1:], ch)
+    for key, ch in sequences.items():
+        if key[0] in source and len(key) == 2:
+            whole = unicodedata.normalize("NFC", source[key[0]] + key[1:])
+            # a letter that its partner's script does not have with this mark is no look-alike
+            _put(out, key, whole if len(whole) == 1 else ch)
+            if len(whole) == 1:
+                _put(out, ch, whole)
+    return out
 
 
 @functools.cache
 def transducer() -> Transducer:
     pairs = {}
-    for code in range(0x7F, sys.maxunicode + 1):
-        if 0xD800 <= code <= 0xDFFF:
+    for code in range(0, sys.maxunicode + 1):
+        if 0xD800 <= code <= 0xDFFF or 0x20 <= code < 0x7F:
             continue
         ch = chr(code)
         out = _one(ch)
         if out != ch:
-            for _ in range(4):  # closed under itself: U+2011 -> U+2010 -> "-"
-                nxt = unicodedata.normalize("NFKC", "".join(_one(x) for x in out))
-                if nxt == out:
-                    break
-                out = nxt
             pairs[ch] = out
-    pairs |= {c: " " for c in _KEPT_CONTROLS} | {chr(c): "" for c in range(32) if chr(c) not in _KEPT_CONTROLS}
-    return Transducer(pairs)
+    loops = frozenset(c for c, out in pairs.items() if not out)
+    seq = _sequences()
+    single = {s: dict(zip(*t)) for s, t in LOOKALIKES.items()}
+    to_latin = {a: b for t in single.values() for a, b in t.items()}
+    contexts = {"Latin": _lookalike_keys(to_latin, seq, pairs)}
+    for s, t in single.items():
+        back: dict[str, str] = {}
+        for a, b in t.items():
+            back.setdefault(b, a)
+        contexts[s] = _lookalike_keys(back, seq, pairs)
+    return Transducer({**seq, **pairs}, contexts, loops)
+
+
+# what may stand within a cluster beside its letters and marks: invisible characters, of which some part clusters otherwise
+_INNER = r"\p{M}\p{Cf}\x00-\x08\x0b\x0c\x0e-\x1f\x7f-\x9f\u115f\u1160\u3164\uffa0\uff9e\uff9f"
+_FRACTIONS = r"\xbc-\xbe\u2150-\u215f\u2189"  # their output parts a word
+_WORD = regex.compile(rf"(?![\uff9e\uff9f{_FRACTIONS}])[\p{{L}}\p{{N}}](?:(?![{_FRACTIONS}])[\p{{L}}\p{{N}}{_INNER}])*")
+_CLUSTER = regex.compile(rf"\X(?:[{_INNER}]+[\u1161-\u1175\u11a8-\u11c2]*)*")
+_SCRIPT = {s: regex.compile(rf"\p{{Script={s}}}") for s in ("Latin", *LOOKALIKES)}
 
 
-@functools.cache
-def _tables() -> tuple[dict[str, dict[int, str]], dict[str, dict[int, str]]]:
-    to_latin = {s: {ord(a): b for a, b in zip(*t)} for s, t in LOOKALIKES.items()}
-    back = {}
-    for s, (src, dst) in LOOKALIKES.items():
-        inverse: dict[int, str] = {}
-        for a, b in zip(src, dst):
-            inverse.setdefault(ord(b), a)
-        back[s] = inverse
-    return to_latin, back
-
-
-_CLUSTER = regex.compile(r"\X")
-_WORD = regex.compile(r"[\p{L}\p{M}\p{N}]+")
-_SCRIPT = {s: regex.compile(rf"\p{{Script={s}}}") for s in ("Latin", *LOOKALIKES)}
+@functools.lru_cache(20_000)
+def _script(ch: str) -> tuple[str, bool]:
+    """Script of the letter in a character's output, marks aside, and whether only that script can be meant."""
+    out = unicodedata.normalize("NFD", _one(ch))[:1]
+    s = next((s for s, p in _SCRIPT.items() if out and p.match(out)), "")
+    if s == "Latin":
+        return s, not any(out in t[1] for t in LOOKALIKES.values())
+    return (s, out not in LOOKALIKES[s][0]) if s else (s, False)
 
 
 @functools.lru_cache(20_000)
-def _cluster(c: str) -> str:
-    """A grapheme cluster: its characters through the trie, then composed."""
-    return unicodedata.normalize("NFKC", transducer().apply(c))
+def _context(w: str) -> str:
+    """The script that the letters of a word settle where they are of several; none else. Letters that no other script can
+    stand for settle it; else the larger number, Latin first."""
+    count, firm = Counter(), Counter()
+    for ch in w:
+        s, own = _script(ch)
+        if s:
+            count[s] += 1
+            firm[s] += own
+    if len(count) < 2:
+        return ""
+    other = max((s for s in count if s != "Latin"), key=lambda s: (firm[s], count[s]))
+    if "Latin" not in count:
+        return ""
+    return "Latin" if firm["Latin"] >= firm[other] and (firm["Latin"] or not firm[other]) else other
 
 
 @functools.lru_cache(20_000)
-def _word(w: str) -> str:
-    """Look-alikes of one word: letters of a second script become those of the script its other letters settle."""
-    count = {s: len(p.findall(w)) for s, p in _SCRIPT.items()}
-    here = [s for s, n in count.items() if n]
-    if len(here) < 2:
-        return w
-    to_latin, back = _tables()
-    # letters that no other script can stand for settle the script; else the larger number, Latin first
-    latin_only = sum(1 for ch in _SCRIPT["Latin"].findall(w) if not any(ord(ch) in t for t in back.values()))
-    firm = {s: sum(1 for ch in _SCRIPT[s].findall(w) if ord(ch) not in to_latin[s]) for s in here if s != "Latin"}
-    other = max((s for s in here if s != "Latin"), key=lambda s: (firm[s], count[s]))
-    if "Latin" in here and (latin_only >= firm[other] if latin_only or firm[other] else True):
-        for s in here:
-            if s != "Latin":
-                w = w.translate(to_latin[s])
-        return w
-    return w.translate(back[other]) if "Latin" in here else w
+def _run(clusters: str, context: str) -> str:
+    return transducer().apply(clusters, context)
 
 
 def canonical(text: str | None) -> str | None:
-    """The consistent form of a text; None stays None, an empty text stays empty."""
+    """The consistent form of a text; None stays None, an empty text stays empty. One pass: every cluster goes through the
+    table once, in the context of its word."""
     if text is None:
         return None
     if not _suspect().search(text):
         return text
-    s = "".join(c if c.isascii() and c.isprintable() else _cluster(c) for c in _CLUSTER.findall(text))
-    s = unicodedata.normalize("NFKC", s)
-    return _WORD.sub(lambda m: m[0] if m[0].isascii() else _word(m[0]), s)
+    out, at = [], 0
+    for m in _WORD.finditer(text):
+        out += _clusters(text[at : m.start()], "")
+        w = m[0]
+        out += [w] if w.isascii() else _clusters(w, _context(w) if len(w) <= 200 else _context.__wrapped__(w))
+        at = m.end()
+    out += _clusters(text[at:], "")
+    return "".join(out)
+
+
+def _clusters(part: str, context: str) -> list[str]:
+    inert = lambda c: c.isascii() and c.isprintable() and context in ("", "Latin")
+    return [part] if inert(part) else [c if inert(c) else _run(c, context) for c in _CLUSTER.findall(part)]
 
 
 @F.pandas_udf(T.StringType())

@@ -26,9 +26,29 @@ def test_form_is_stable_and_normal(text):
     assert C.canonical(once) == once and unicodedata.is_normalized("NFKC", once)
 
 
+def test_sequences_are_keys_of_the_one_table():
+    t = C.transducer()
+    assert t.apply("e\u0301") == "é" and t.apply("e\u200d\u0301") == "é" and t.apply("a\u0323\u0302") == t.apply("a\u0302\u0323") == "ậ"
+    assert t.apply("c\u0323\u0327") == unicodedata.normalize("NFKC", "c\u0323\u0327")  # a mark reaches its letter over another
+    assert t.apply("ﾊﾟ") == "パ" and t.apply("한") == "한"
+    assert t.apply("а\u0301", "Latin") == "á" and t.apply("а\u0301") == "а\u0301"  # a look-alike only in the context of its word
+
+
+PIECES = st.sampled_from([*"aeoANcqåâệｶﾊカбгМіωΑ①½ﬁᄀ각 -9", "ᅡ", "ᆨ", "ﾞ", "\u3099", *map(chr, (0x200D, 0x200B, 0xAD, 0xFE0F, 0x3000, 0x2011, 0x300, 0x301, 0x302, 0x323, 0x327, 0x328, 0x338, 0x345, 0x5B4))])
+
+
+@settings(max_examples=1500, deadline=None)
+@given(st.lists(PIECES, max_size=7).map("".join))
+def test_clusters_are_normal_without_a_normaliser(text):
+    once = C.canonical(text)
+    assert C.canonical(once) == once and unicodedata.is_normalized("NFKC", once)
+
+
 def test_conflicts_are_found():
     with pytest.raises(C.ConflictError):
         C.Transducer({"a": "b", "b": "c"})
+    with pytest.raises(C.ConflictError):
+        C._put({"a": "b"}, "a", "c")
     t = C.Transducer({"ab": "x", "a": "y"})
     assert t.apply("aba") == "xy"
 
