@@ -229,7 +229,7 @@ def transducer() -> Transducer:
 _INNER = r"\p{M}\p{Cf}\x00-\x08\x0b\x0c\x0e-\x1f\x7f-\x9f\u115f\u1160\u3164\uffa0\uff9e\uff9f"
 _FRACTIONS = r"\xbc-\xbe\u2150-\u215f\u2189"  # their output parts a word
 _WORD = regex.compile(rf"(?![\uff9e\uff9f{_FRACTIONS}])[\p{{L}}\p{{N}}](?:(?![{_FRACTIONS}])[\p{{L}}\p{{N}}{_INNER}])*")
-_CLUSTER = regex.compile(rf"\X(?:[{_INNER}]+[\u1161-\u1175\u11a8-\u11c2]*)*")
+_CLUSTER = regex.compile(rf"\X[{_INNER}\u1161-\u1175\u11a8-\u11c2]*")
 _SCRIPT = {s: regex.compile(rf"\p{{Script={s}}}") for s in ("Latin", *LOOKALIKES)}
 
 
