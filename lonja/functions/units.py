@@ -1,7 +1,8 @@
 """Units as exponent vectors with scale and offset, a small grammar for quantities, and its native column form.
 
 A unit is (exponents over the base dimensions, scale, offset): canonical value = figure * scale + offset. Products,
-quotients, integer powers and decimal prefixes are parsed by `parse_unit`; offset units may only stand alone.
+quotients, integer powers and decimal prefixes are parsed by `parse_unit`; offset units may only stand alone. A currency is
+a unit of money whose scale is a rate known only with the row. `convert` is the one place where figures change units.
 """
 
 from __future__ import annotations
@@ -20,19 +21,22 @@ class Unit:
     dim: tuple[int, ...]
     scale: float
     offset: float = 0.0
+    rate: str | None = None  # the currency whose rate multiplies the scale
 
     def __mul__(self, other: "Unit") -> "Unit":
         if self.offset or other.offset:
             raise ValueError("a unit with an offset cannot be part of a product")
-        return Unit(tuple(a + b for a, b in zip(self.dim, other.dim)), self.scale * other.scale)
+        if self.rate and other.rate:
+            raise ValueError("a product of two currencies")
+        return Unit(tuple(a + b for a, b in zip(self.dim, other.dim)), self.scale * other.scale, 0.0, self.rate or other.rate)
 
     def __pow__(self, n: int) -> "Unit":
-        if self.offset and n != 1:
-            raise ValueError("a unit with an offset cannot be raised to a power")
+        if (self.offset or self.rate) and n != 1:
+            raise ValueError("a unit with an offset or a rate cannot be raised to a power")
         return replace(self, dim=tuple(a * n for a in self.dim), scale=self.scale**n)
 
     def to(self, other: "Unit", figure: float) -> float:
-        if self.dim != other.dim:
+        if self.dim != other.dim or self.rate != other.rate:
             raise ValueError("the dimensions differ")
         return (figure * self.scale + self.offset - other.offset) / other.scale
 
@@ -49,25 +53,30 @@ ATOMS: dict[str, Unit] = {
     "W": Unit(POWER, 1.0), "J": Unit(_d(length=2, mass=1, time=-2), 1.0), "N": Unit(_d(length=1, mass=1, time=-2), 1.0),
     "h": Unit(_d(time=1), 3600.0), "min": Unit(_d(time=1), 60.0), "l": Unit(_d(length=3), 1e-3), "t": Unit(_d(mass=1), 1000.0),
     "°C": Unit(_d(temperature=1), 1.0, 273.15), "°F": Unit(_d(temperature=1), 5 / 9, 459.67 * 5 / 9),
-    "PS": Unit(POWER, 735.499), "bhp": Unit(POWER, 745.7), "EUR": Unit(MONEY, 1.0), "mi": Unit(_d(length=1), 1609.344),
+    "PS": Unit(POWER, 735.49875), "bhp": Unit(POWER, 745.69987), "EUR": Unit(MONEY, 1.0), "mi": Unit(_d(length=1), 1609.344),
 }
+# Currencies beside the euro; ISO 4217.
+ATOMS |= {c: Unit(MONEY, 1.0, 0.0, c.lower()) for c in ("CHF", "PLN", "CZK", "GBP", "SEK", "DKK", "NOK")}
 PREFIX = {"": 1.0, "k": 1e3, "M": 1e6, "m": 1e-3, "c": 1e-2, "µ": 1e-6, "d": 1e-1, "h": 1e2}
 
-# Spellings of the power units in listings, in lower case, and the code each stands for.
+# Spellings of units in listings, in lower case, and the unit expression each stands for.
 POWER_WORDS = {
-    "kw": "kw", "kilowatt": "kw", "kilovatios": "kw", "ps": "ps", "pferdestärken": "ps", "cv": "ps", "caballos": "ps", "ch": "ps",
-    "km": "ps", "hk": "ps", "pk": "ps", "hp": "ps", "bhp": "bhp", "brake hp": "bhp", "watt": "w", "w": "w",
+    "kw": "kW", "kilowatt": "kW", "kilovatios": "kW", "ps": "PS", "pferdestärken": "PS", "cv": "PS", "caballos": "PS", "ch": "PS",
+    "km": "PS", "hk": "PS", "pk": "PS", "hp": "PS", "bhp": "bhp", "brake hp": "bhp", "watt": "W", "w": "W",
 }
 # Spellings of currencies in lower case. `kr` alone is the krona or krone of the row's country.
 MONEY_WORDS = {
-    "€": "eur", "eur": "eur", "euro": "eur", "euros": "eur", "chf": "chf", "sfr": "chf", "fr": "chf", "zł": "pln", "zl": "pln", "pln": "pln",
-    "plz": "pln", "kč": "czk", "kc": "czk", "czk": "czk", "£": "gbp", "gbp": "gbp", "pfund": "gbp", "sek": "sek", "skr": "sek", "nok": "nok",
-    "nkr": "nok", "dkk": "dkk", "dkr": "dkk", "kr": "kr",
+    "€": "EUR", "eur": "EUR", "euro": "EUR", "euros": "EUR", "chf": "CHF", "sfr": "CHF", "fr": "CHF", "zł": "PLN", "zl": "PLN", "pln": "PLN",
+    "plz": "PLN", "kč": "CZK", "kc": "CZK", "czk": "CZK", "£": "GBP", "gbp": "GBP", "pfund": "GBP", "sek": "SEK", "skr": "SEK", "nok": "NOK",
+    "nkr": "NOK", "dkk": "DKK", "dkr": "DKK", "kr": "kr",
 }
 # The currency of each country.
-COUNTRY_MONEY = {"DE": "eur", "AT": "eur", "ES": "eur", "FR": "eur", "CH": "chf", "PL": "pln", "CZ": "czk", "GB": "gbp", "SE": "sek", "DK": "dkk", "NO": "nok"}
-# Words that scale a price.
-SCALE_WORDS = {"tsd": 1000.0, "mil": 1000.0, "k": 1000.0, "cent": 0.01, "ct": 0.01}
+COUNTRY_MONEY = {"DE": "EUR", "AT": "EUR", "ES": "EUR", "FR": "EUR", "CH": "CHF", "PL": "PLN", "CZ": "CZK", "GB": "GBP", "SE": "SEK", "DK": "DKK", "NO": "NOK"}
+# Words that scale a price, and the decimal prefix each stands for.
+SCALE_WORDS = {"tsd": "k", "mil": "k", "k": "k", "cent": "c", "ct": "c"}
+# The unit expressions of the codes of measure_units; a code is otherwise its quantity's unit times its factor.
+CODE_UNITS = {"kw": "kW", "ps": "PS", "bhp": "bhp", "w": "W", "eur": "EUR", "eur_k": "kEUR", "eur_cent": "cEUR"}
+CANONICAL = {"power": "kW", "price": "EUR"}
 
 
 def parse_unit(text: str) -> Unit:
@@ -100,6 +109,42 @@ def parse_unit(text: str) -> Unit:
     return out
 
 
+def code_unit(code: str, quantity: str, factor: float | None) -> Unit:
+    """The unit of a row of measure_units. Its expression is parsed where the grammar knows the code; else it is the
+    quantity's canonical unit times the factor. Raises where the dimension is not the quantity's, or where the factor
+    contradicts the expression by more than a tenth of a per cent."""
+    base = parse_unit(CANONICAL[quantity])
+    if code in CODE_UNITS or code.upper() in ATOMS:
+        unit = parse_unit(CODE_UNITS.get(code, code.upper()))
+    elif factor is None:
+        raise ValueError(f"a unit without expression or factor: {code}")
+    else:
+        unit = replace(base, scale=base.scale * factor)
+    if unit.dim != base.dim:
+        raise ValueError(f"{code} does not measure {quantity}")
+    if factor is not None and abs(unit.scale / base.scale / factor - 1) > 1e-3:
+        raise ValueError(f"the factor of {code} is not that of its unit")
+    return unit
+
+
+def convert(c: Column, unit: Unit, to: Unit, rates: Column | None = None) -> Column:
+    """A figure in another unit: scale, offset and, for a currency, the rate of the row's map `rates`. Null without a rate.
+    Raises where the dimensions differ."""
+    if unit.dim != to.dim:
+        raise ValueError("the dimensions differ")
+    if to.rate:
+        raise ValueError("figures are not converted into a currency with a rate")
+    value = c * F.lit(unit.scale / to.scale)
+    if unit.offset or to.offset:
+        value = value + F.lit((unit.offset - to.offset) / to.scale)
+    return value * F.try_element_at(rates, F.lit(unit.rate)) if unit.rate else value
+
+
+def convert_by_code(c: Column, code: Column, units: dict[str, Unit], to: Unit, rates: Column | None = None) -> Column:
+    """The same where each row names its unit; null for a code that is not among `units`."""
+    return F.coalesce(*[F.when(code == k, convert(c, u, to, rates)) for k, u in units.items()], F.lit(None).cast("double"))
+
+
 def literal_map(d: dict[str, object]) -> Column:
     return F.create_map(*[F.lit(x) for kv in d.items() for x in kv])
 
@@ -122,15 +167,37 @@ def figure(c: Column, decimal_comma_only: Column | None = None) -> Column:
     return F.when(tight != "", number).try_cast("double")
 
 
-def _alternatives(words: dict[str, str]) -> str:
+def _alternatives(words) -> str:
     return "|".join(re.escape(w) for w in sorted(words, key=len, reverse=True))
 
 
-def first_power(c: Column) -> Column:
-    """struct<value, unit> of the first power quantity in a text; unit is null where there is none."""
-    pat = rf"(?iu)(?<![\p{{L}}\p{{N}}.,])({POWER_FIGURE})\s*({_alternatives(POWER_WORDS)})(?![\p{{L}}\p{{N}}])"
+def spelt(words: dict[str, str], units: dict[str, Unit]) -> dict[str, str]:
+    """word -> code of the unit that the word's expression denotes; words of a unit that no code has are left out."""
+    by_unit = {(u.dim, round(u.scale, 6), u.offset, u.rate): code for code, u in reversed(units.items())}
+    out = {}
+    for w, expression in words.items():
+        u = parse_unit(expression)
+        if (code := by_unit.get((u.dim, round(u.scale, 6), u.offset, u.rate))) is not None:
+            out[w] = code
+    return out
+
+
+def first_power(c: Column, units: dict[str, Unit]) -> Column:
+    """struct<value, unit> of the first power quantity in a text; unit is a code of `units`, null where there is none."""
+    words = spelt(POWER_WORDS, units)
+    pat = rf"(?iu)(?<![\p{{L}}\p{{N}}.,])({POWER_FIGURE})\s*({_alternatives(words)})(?![\p{{L}}\p{{N}}])"
     unit = F.lower(F.regexp_extract(c, pat, 2))
-    return F.struct(figure(F.regexp_extract(c, pat, 1)).alias("value"), literal_map(POWER_WORDS)[F.when(unit != "", unit)].alias("unit"))
+    return F.struct(figure(F.regexp_extract(c, pat, 1)).alias("value"), literal_map(words)[F.when(unit != "", unit)].alias("unit"))
+
+
+def price_units(units: dict[str, Unit]) -> dict[str, Unit]:
+    """The units of `units` and those a scale word makes of a currency that has no code of its own, as `chf_k`."""
+    out = dict(units)
+    for code, u in units.items():
+        if u.scale == 1.0:
+            for suffix, prefix in (("_k", "k"), ("_cent", "c")):
+                out.setdefault(code + suffix, replace(u, scale=u.scale * PREFIX[prefix]))
+    return out
 
 
 def first_price(c: Column, country: Column) -> Column:
@@ -140,7 +207,7 @@ def first_price(c: Column, country: Column) -> Column:
     scale = F.regexp_extract(low, r"\d[\s]*(" + "|".join(SCALE_WORDS) + r")(?![\p{L}])", 1)
     money = F.regexp_extract(low, rf"(?<![\p{{L}}])({_alternatives(MONEY_WORDS)})(?![\p{{L}}])", 1)
     code = literal_map(MONEY_WORDS)[F.when(money != "", money)]
-    code = F.when(code == "kr", literal_map(COUNTRY_MONEY)[country]).otherwise(code)
-    unit = F.when(F.coalesce(literal_map(SCALE_WORDS)[F.when(scale != "", scale)], F.lit(1.0)) == 1000.0, F.concat(code, F.lit("_k"))) \
-        .when(literal_map(SCALE_WORDS)[F.when(scale != "", scale)] == 0.01, F.concat(code, F.lit("_cent"))).otherwise(code)
+    code = F.lower(F.when(code == "kr", literal_map(COUNTRY_MONEY)[country]).otherwise(code))
+    prefix = literal_map(SCALE_WORDS)[F.when(scale != "", scale)]
+    unit = F.concat(code, F.coalesce(literal_map({"k": "_k", "c": "_cent"})[prefix], F.lit("")))
     return F.struct(figure(num, scale != "").alias("value"), F.when(num != "", unit).alias("unit"))

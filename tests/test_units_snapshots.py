@@ -4,7 +4,7 @@ import datetime as dt
 
 import pytest
 
-from lonja.functions.units import ATOMS, first_power, first_price, parse_unit
+from lonja.functions.units import ATOMS, code_unit, convert, convert_by_code, first_power, first_price, parse_unit
 from lonja.operators.snapshots import snapshot_changes
 from lonja.operators.units import misrecorded_fields, normalise_quantities
 from pyspark.sql import functions as F
@@ -31,13 +31,32 @@ def test_unit_grammar():
     assert parse_unit("°C").to(ATOMS["K"], 20) == pytest.approx(293.15)
     with pytest.raises(ValueError):
         parse_unit("°C/s")
+    for bad in (lambda: parse_unit("kW").to(ATOMS["K"], 1), lambda: parse_unit("CHF").to(ATOMS["EUR"], 1), lambda: parse_unit("CHF^2"), lambda: parse_unit(""), lambda: parse_unit("kX")):
+        with pytest.raises(ValueError):
+            bad()
+
+
+def test_codes_of_the_unit_table():
+    assert code_unit("kw", "power", 1.0) == parse_unit("kW") and code_unit("chf", "price", None).rate == "chf"
+    assert code_unit("mw_e", "power", 1000.0).to(ATOMS["PS"], 1) == pytest.approx(1359.62, abs=0.01)  # unknown to the grammar: by its factor
+    for code, quantity, factor in (("kw", "power", 2.0), ("chf", "power", None), ("odd", "price", None)):
+        with pytest.raises(ValueError):
+            code_unit(code, quantity, factor)
+
+
+def test_conversion_by_scale_offset_and_rate(spark):
+    df = spark.createDataFrame([(20.0, "a", {"chf": 1.1}), (None, "a", {"chf": 1.1}), (20.0, "b", {}), (20.0, None, None)], "x double, code string, rates map<string,double>")
+    c, k = parse_unit("°C"), parse_unit("K")
+    got = [tuple(r) for r in df.select(convert(F.col("x"), c, k), convert(F.col("x"), parse_unit("kCHF"), ATOMS["EUR"], F.col("rates")), convert_by_code(F.col("x"), F.col("code"), {"a": c, "b": k}, k)).collect()]
+    assert got[0] == (pytest.approx(293.15), pytest.approx(22_000.0), pytest.approx(293.15)) and got[1] == (None, None, None)
+    assert got[2] == (pytest.approx(293.15), None, 20.0) and got[3][1:] == (None, None)
     with pytest.raises(ValueError):
-        parse_unit("kW").to(ATOMS["K"], 1)
+        convert(F.col("x"), c, ATOMS["EUR"])
 
 
 def test_figures(spark):
     df = spark.createDataFrame([("DTR 1.2 55kW man.",), ("136 PS / 100 kW",), ("brake hp 103",), ("103 brake hp",), (None,), ("",), ("x" * 100_000 + " 90 cv",)], "t string")
-    got = [(r.p.value, r.p.unit) for r in df.select(first_power(F.col("t")).alias("p")).collect()]
+    got = [(r.p.value, r.p.unit) for r in df.select(first_power(F.col("t"), {c: code_unit(c, q, f) for c, q, f in UNITS if q == "power"}).alias("p")).collect()]
     assert got == [(55.0, "kw"), (136.0, "ps"), (None, None), (103.0, "bhp"), (None, None), (None, None), (90.0, "ps")]
     df = spark.createDataFrame([("10.045,00 EUR",), ("€10,010",), ("42,61 Tsd. €",), ("10,005 Tsd. €",), ("EUR 10.019,-",), ("CHF 10'105.–",), ("103 300 kr",), ("auf Anfrage",), (None,)], "t string")
     got = [(r.p.value, r.p.unit) for r in df.select(first_price(F.col("t"), F.lit("SE")).alias("p")).collect()]
@@ -56,6 +75,12 @@ def test_misrecorded(spark):
     want = {(2, "power_kw", "ps"), (3, "power_hp", "bhp"), (4, "power_kw", "w"), (5, "power_kw", "ps"), (5, "power_hp", "kw"), (6, "power_raw", "ps"), (9, "price_net_eur", "eur_k"),
                    (10, "price_net_eur", "eur_cent"), (11, "price_net_eur", "pln"), (12, "price_raw", "eur_k"), (15, "power_kw", "ps"), (15, "power_hp", "kw"), (13, "price_raw", "pln")}
     assert got - {(13, "price_raw", "pln")} == want - {(13, "price_raw", "pln")}
+    units, fx, vat = reference(spark)
+    twice = {tuple(r) for r in misrecorded_fields(normalise_quantities(df, units.union(units), fx.union(fx), vat.union(vat))).collect()}
+    assert twice == got  # repeated rows of the reference tables change nothing
+    more = units.union(spark.createDataFrame([("kcal_min", "power", 0.0697333)], units.schema))  # a unit only the table knows
+    kcal = spark.createDataFrame([row(1, 1434, 136)], LISTING)
+    assert {tuple(r) for r in misrecorded_fields(normalise_quantities(kcal, more, fx, vat)).collect()} == {(1, "power_kw", "kcal_min")}
     q = {r.row_id: r for r in normalise_quantities(df, *reference(spark)).collect()}
     assert q[7].power_kw_value is None and q[7].net_eur is None and q[2].power_kw_value == pytest.approx(100, abs=0.1)
     assert q[11].net_eur == pytest.approx(10000) and normalise_quantities(df.limit(0), *reference(spark)).count() == 0
