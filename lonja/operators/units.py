@@ -46,14 +46,15 @@ def power_evidence(listings: DataFrame, power: dict[str, Unit]) -> DataFrame:
     return df.withColumn("text_kw", F.coalesce(kw("pw_raw"), kw("pw_title")))
 
 
-def normalise_quantities(listings: DataFrame, units: DataFrame, fx: DataFrame, vat: DataFrame) -> DataFrame:
+def normalise_quantities(listings: DataFrame, units: DataFrame, fx: DataFrame, vat: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
     """Power in kW and net price in EUR for every listing, with the unit each figure was recorded in.
 
     A figure's unit is the one that agrees with the row's other evidence: the unit written in power_raw or title, the
     other power field, or else how often its model's agreeing rows have each reading. For a net price the evidence is the
     gross price less the country's VAT, and the month's exchange rate.
 
-    Out: row_id, power_kw_value (kW, double), kw_unit, hp_unit, raw_power_unit, net_eur, net_unit, raw_price_unit.
+    Out: row_id, power_kw_value (kW, double), kw_unit, hp_unit, raw_power_unit, net_eur, net_unit, raw_price_unit, and the
+    columns of `carry` as they are, so that no join back on row_id is needed.
     Nulls: a missing field has a null unit; with no power or price at all the value is null. A figure without any
     evidence keeps its field's own unit. Placeholder or zero gross prices are no evidence. NaN counts as null.
     Empty input gives an empty result; repeated rows come out as often as they went in.
@@ -63,7 +64,7 @@ def normalise_quantities(listings: DataFrame, units: DataFrame, fx: DataFrame, v
     power = {"kw": kilowatt, "ps": parse_unit("PS")} | power  # the units of the two fields
     as_kw = lambda c, code: convert(c, power[code], kilowatt)
     keep = ["row_id", "source", "scraped_at", "title", "model", "engine_displacement_cc", "power_kw", "power_hp", "power_raw", "price_eur", "price_net_eur", "original_price", "price_raw", "country_code"]
-    df = listings.select(*keep)
+    df = listings.select(*keep, *([F.struct(*carry).alias("_carry")] if carry else []))
     for c in ("price_eur", "price_net_eur", "original_price"):
         df = df.withColumn(c, F.when(~F.isnan(F.col(c)), F.col(c)))
     df = df.withColumn("kwf", F.col("power_kw").cast("double")).withColumn("hpf", F.col("power_hp").cast("double"))
@@ -151,6 +152,7 @@ def normalise_quantities(listings: DataFrame, units: DataFrame, fx: DataFrame, v
         F.when(no_power & F.col("pw_raw.value").isNotNull(), F.col("pw_raw.unit")).alias("raw_power_unit"),
         net.alias("net_eur"), "net_unit",
         F.when(no_price & F.col("pr_raw.value").isNotNull(), F.col("pr_raw.unit")).alias("raw_price_unit"),
+        *[F.col(f"_carry.{c}").alias(c) for c in carry],
     )
 
 
