@@ -2,22 +2,27 @@
 
 from __future__ import annotations
 
+import functools
 import re
 import unicodedata
 from dataclasses import dataclass, field
 
 from lonja.llm.canon_text import canonical
-from lonja.llm.canonical_values import osa
+from lonja.llm.canonical_values import osa as _osa
 
 # Public words for automatic and manual gearboxes, folded.
 AUTOMATIC = {"aut", "aut.", "auto", "automatico", "automatica", "automatik", "automatic", "dct", "cvt", "7g", "dsg", "7-gang-dct", "automatikgetriebe"}
-MANUAL = {"manual", "man.", "man", "schaltgetriebe", "handschaltung", "6-gang", "5-gang", "6vel"}
+MANUAL = {"manual", "man.", "man", "schaltgetriebe", "handschaltung"}
+#: The same words meet the same names again and again.
+osa = functools.lru_cache(200_000)(_osa)
 ROMAN = {"i", "ii", "iii", "iv", "v", "vi", "vii"}
 
 _LITRE = re.compile(r"(\d[.,]\d)l?")
 _CC = re.compile(r"(\d{3,4})cc(?:m)?")
 _POWER = re.compile(r"(\d{2,3})(cv|ps|kw|hp)")
 _SPLIT_UNIT = re.compile(r"\b(\d{2,4}) (cv|ps|kw|hp|ccm|cc)\b")
+_SPLIT_GEARS = re.compile(r"\b([4-8]) (vel|velocidades|gang)\b")
+_GEARS = re.compile(r"[4-8]-?(?:vel|velocidades|gang)\.?")
 _DUAL = re.compile(r"\b(\d{2,3})(kw|ps|cv)\s*[/(]\s*(\d{2,3})(kw|ps|cv)\)?")
 FACTOR = {"kw": 1.0, "cv": 0.735499, "ps": 0.735499, "hp": 0.735499}
 
@@ -44,7 +49,7 @@ def fold(text: str) -> str:
 
 def tokens(text: str | None) -> list[str]:
     """Folded words; a figure and its unit are one word, both halves of a double power figure are words of their own."""
-    t = _SPLIT_UNIT.sub(r"\1\2", fold(text or ""))
+    t = _SPLIT_GEARS.sub(r"\1\2", _SPLIT_UNIT.sub(r"\1\2", fold(text or "")))
     t = _DUAL.sub(r"\1\2 \3\4 ", t)
     return [w for w in (x.strip("|,;:()[]*!?¡®★/\"'") for x in re.split(r"[\s|,;]+(?!\d)|\s*[|/*]\s+|\s+", t)) if w]
 
@@ -101,7 +106,7 @@ def classify(w: str, lex: Lexicon) -> tuple:
         out = ("drive", w)
     elif w in AUTOMATIC:
         out = ("gear", "automatic")
-    elif w in MANUAL:
+    elif w in MANUAL or _GEARS.fullmatch(w):
         out = ("gear", "manual")
     else:
         s, t = max(((trim_likeness(w, t), t) for t in lex.trims), default=(0.0, None))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from lonja.llm.encoder import Encoder, kmeans, tune_probes
 from lonja.llm.listing_attributes import deletions
 from lonja.llm.official_match import exclusive, match_official
-from lonja.llm.product_groups import compatible, components, product_groups, product_pairs
+from lonja.llm.product_groups import compatible, components, product_groups, product_links, product_pairs
 from lonja.llm.subjects import document_subjects, sentences
 from lonja.llm.vehicle_text import Lexicon, fold, model_likeness, read
 from tests.test_units_snapshots import T0, reference
@@ -103,9 +103,9 @@ def test_components(spark):
 
 
 def test_vetoes():
-    a = np.array([1, 1, 1, 1, 1, 1, 2195, 22, 155])
+    a = np.array([1, 1, 1, 1, 1, 1, 2195, 22, 155])  # unknown is below zero
     ch = lambda **k: np.array([k.get(f"c{i}", v) for i, v in enumerate(a)])
-    assert compatible(a, ch(c5=0, c6=0, c8=156)) and not compatible(a, ch(c8=158)) and not compatible(a, ch(c2=3)) and not compatible(a, ch(c2=0)) and not compatible(a, ch(c5=3))
+    assert compatible(a, ch(c5=-1, c6=-1, c8=156)) and not compatible(a, ch(c8=158)) and not compatible(a, ch(c2=3)) and compatible(a, ch(c2=-1)) and not compatible(a, ch(c5=3))
 
 
 def test_products(spark):
@@ -124,7 +124,10 @@ def test_products(spark):
     schema = "row_id long, source string, scraped_at timestamp, title string, model string, engine_displacement_cc int, power_kw int, power_hp int, power_raw string, price_eur double, price_net_eur double, original_price double, price_raw string, country_code string, rep string, version string, transmission string, fuel_type string"
     df = spark.createDataFrame(rows, schema)
     truth[0].append(902)
-    got = {(x.row_id_a, x.row_id_b) for x in product_pairs(product_groups(df, *reference(spark))).collect()}
+    groups = product_groups(df, *reference(spark))[0].cache()
+    got = {(x.row_id_a, x.row_id_b) for x in product_pairs(groups).collect()}
+    links = {x.row_id: x.links for x in product_links(groups).collect()}
+    assert all(links[i] == sum(i in pair for pair in got) for i in links) and groups.count() == len(rows)
     want = {(a, b) for v in truth.values() for a, b in itertools.combinations(sorted(v), 2)}
     assert len(got & want) >= 0.95 * len(want) and len(got & want) >= 0.99 * len(got)
-    assert product_pairs(product_groups(df.limit(0), *reference(spark))).count() == 0
+    assert product_pairs(product_groups(df.limit(0), *reference(spark))[0]).count() == 0
