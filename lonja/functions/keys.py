@@ -45,8 +45,7 @@ def word_array(text: Column) -> Column:
 def fuel_category(c: Column) -> Column:
     """One fuel category of a free label; `na` where there is none, `other` where no word decides."""
     n = normalize_text(c)
-    tk = F.split(n, "_")
-    has = lambda words: F.arrays_overlap(tk, _lits(words))
+    has = lambda words: n.rlike("(?:^|_)(?:" + "|".join(words) + ")(?:_|$)")
     hybrid = has(["hybrid", "hibrido"]) | n.contains("mild_hybrid")
     plug = has(PLUG_TOKENS) | n.contains("plug_in")
     out = F.when(n == "na", n).when(has(FUEL_TOKENS["phev"]), F.lit("phev")).when(has(FUEL_TOKENS["lpg"]), F.lit("lpg"))
@@ -66,20 +65,19 @@ def joined_text(version: Column, title: Column, model: Column) -> Column:
     return normalize_text(F.concat_ws(" ", part(version), part(title), part(model)))
 
 
-def variant_key(tk: Column) -> Column:
-    """The engine variant in an array of words: a word's figure with one or two letters; two neighbouring words that make
-    one; a word of two or three digits. `tk` should be a column, not an expression: the lambdas read it at every word."""
-    first = lambda arr: F.try_element_at(F.filter(arr, lambda x: x.isNotNull() & (x != "")), F.lit(1))
-    a = first(F.transform(tk, lambda x: F.regexp_extract(x, r"(?:xdrive|sdrive)?(\d{2,3}[a-z]{1,2})$", 1)))
-    nxt = lambda i, k: F.get(tk, i + k)
+# The forms of an engine variant in normalised text, in the order in which they decide: figure and letters at a
+# word's end; a figure parted from its letter, or a letter parted from its figure; a word of a figure with single letters.
+_JOINED = r"(\d{2,3}[a-z]{1,2})(?=_|$)"
+_PARTED = r"(?:^|_)(\d+(?=_[dei](?:_|$))|[a-z0-9](?=_\d+(?:_|$)))_([a-z0-9]+)(?:_([dei])(?=_|$))?"
+_WHOLE = r"(?:^|_)([a-z]?\d{2,3}[a-z]?)(?=_|$)"
 
-    def pair(x: Column, i: Column) -> Column:
-        tail = F.when(nxt(i, 2).isin("d", "e", "i"), nxt(i, 2)).otherwise(F.lit(""))
-        return F.when(x.rlike(r"^\d+$") & nxt(i, 1).isin("d", "e", "i"), F.concat(x, nxt(i, 1))).when((F.length(x) == 1) & nxt(i, 1).rlike(r"^\d+$"), F.concat(x, nxt(i, 1), tail))
 
-    b = first(F.transform(tk, pair))
-    c = first(F.filter(tk, lambda x: x.rlike(r"^[a-z]?\d{2,3}[a-z]?$")))
-    return F.coalesce(a, b, c, F.lit("na"))
+def variant_key(text: Column) -> Column:
+    """The engine variant in a normalised text; `na` where there is none. Three patterns, so it stays in generated code."""
+    t = F.regexp_replace(text, r"(?:^|_)na(?=_|$)", "")
+    find = lambda pattern, i: F.regexp_extract(t, pattern, i)
+    parted = F.concat(find(_PARTED, 1), find(_PARTED, 2), F.when(find(_PARTED, 1).rlike("^.$") & find(_PARTED, 2).rlike(r"^\d"), find(_PARTED, 3)).otherwise(""))
+    return F.coalesce(F.nullif(find(_JOINED, 1), F.lit("")), F.nullif(parted, F.lit("")), F.nullif(find(_WHOLE, 1), F.lit("")), F.lit("na"))
 
 
 def engine_key(text: Column, variant: Column, fuel: Column, cc: Column) -> Column:
@@ -93,10 +91,10 @@ def engine_key(text: Column, variant: Column, fuel: Column, cc: Column) -> Colum
 
 
 def with_engine(df: DataFrame) -> DataFrame:
-    """Adds text_n, tk, fuel, variant and engine, each a column of its own, so that Catalyst keeps the costly ones apart
-    and none is computed again inside another."""
+    """Adds text_n, fuel, variant and engine, each a column of its own, so that Catalyst keeps the costly ones apart and
+    none is computed again inside another."""
     df = df.withColumn("text_n", joined_text(F.col("version"), F.col("title"), F.col("model"))).withColumn("fuel", fuel_category(F.col("fuel_type")))
-    df = df.withColumn("tk", word_array(F.col("text_n"))).withColumn("variant", variant_key(F.col("tk")))
+    df = df.withColumn("variant", variant_key(F.col("text_n")))
     return df.withColumn("engine", engine_key(F.col("text_n"), F.col("variant"), F.col("fuel"), F.col("engine_displacement_cc")))
 
 

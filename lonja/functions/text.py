@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import re
 import sys
 import unicodedata
 
@@ -48,10 +49,10 @@ def fold_wide(c: Column) -> Column:
 
 def strip_accents(c: Column) -> Column:
     """Compatibility decomposition without what is not ASCII in it; other characters stay. Texts that hold a character
-    which decomposes into several take the longer way."""
+    which decomposes into several take the longer way, plain ASCII none."""
     many = F.create_map(*[F.lit(x) for kv in MANY.items() for x in kv])
     spread = F.array_join(F.transform(F.split(c, ""), lambda x: F.coalesce(many[x], x)), "")
-    return F.translate(F.when(c.rlike(_SPREADING), spread).otherwise(c), LATIN, PLAIN)
+    return F.when(c.rlike(r"[^\x00-\x7F]"), F.translate(F.when(c.rlike(_SPREADING), spread).otherwise(c), LATIN, PLAIN)).otherwise(c)
 
 
 def normalize_text(c: Column) -> Column:
@@ -61,6 +62,12 @@ def normalize_text(c: Column) -> Column:
     return F.coalesce(F.when(t != "", t), F.lit("na"))
 
 
+def normal_word(s: str) -> str:
+    """normalize_text of one text on the driver."""
+    plain = unicodedata.normalize("NFKD", s).encode("ascii", "ignore").decode().lower()
+    return re.sub("[^a-z0-9]+", "_", plain).strip("_") or "na"
+
+
 def normalize_official(c: Column) -> Column:
     """Official-register form: accents dropped, case folded, tokens joined by one space, `320 d` joined to `320d`."""
     t = F.lower(strip_accents(c))

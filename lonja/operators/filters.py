@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lonja.functions.keys import TRANSMISSIONS, effective_year, fuel_category
-from lonja.functions.text import contains_tokens, normalize_text
+from lonja.functions.text import contains_tokens, normal_word, normalize_text
 
 
 @dataclass(frozen=True)
@@ -38,6 +38,7 @@ class ListingFilter:
     private_only: bool = False
     with_images: bool = False
     certified_only: bool = False
+    page_size: int = 30
 
     def __post_init__(self) -> None:
         for name in ("price", "year", "km", "hp", "doors", "seats"):
@@ -49,6 +50,8 @@ class ListingFilter:
                 v = getattr(self, f"{side}_{name}")
                 if v is not None and not low <= v <= high:
                     raise ValueError(f"{side}_{name} is outside {low} to {high}")
+        if not 1 <= self.page_size <= 200:
+            raise ValueError("page_size is outside 1 to 200")
         if self.dealer_only and self.private_only:
             raise ValueError("dealer_only and private_only exclude each other")
 
@@ -91,7 +94,10 @@ class ListingFilter:
         return df.where(self.predicate(df))
 
     def same_vehicle(self, other: "ListingFilter") -> bool:
-        """Whether two filters ask for the same vehicle; price, country and seller may differ."""
-        free = {"min_price", "max_price", "country", "dealer_only", "private_only", "with_images", "certified_only"}
-        fold = lambda v: v.strip().lower() if isinstance(v, str) else frozenset(v) if isinstance(v, tuple) else v
-        return all(fold(getattr(self, f.name)) == fold(getattr(other, f.name)) for f in fields(self) if f.name not in free)
+        """Whether two filters ask for the same vehicle, names compared as normalised text; price, country, seller and the
+        size of a page may differ."""
+        free = {"min_price", "max_price", "country", "dealer_only", "private_only", "with_images", "certified_only", "page_size"}
+        fold = lambda v: normal_word(v) if isinstance(v, str) else frozenset(v) if isinstance(v, tuple) else v
+        blank = {"make", "model", "version"}
+        side = lambda f, n: fold(getattr(f, n) or "") if n in blank else fold(getattr(f, n))
+        return all(side(self, f.name) == side(other, f.name) for f in fields(self) if f.name not in free)

@@ -70,10 +70,25 @@ def comparable_pairs(targets: DataFrame, candidates: DataFrame) -> DataFrame:
     )
     return t.join(c, cond).select(
         F.col("t.id").alias("target_id"), F.col("c.id").alias("candidate_id"), level.alias("level"), F.col("c.price").alias("price"), F.col("c.source").alias("candidate_source"),
-        same_tx.alias("same_tx"), dy.alias("year_delta"), dkm.alias("km_delta"), checks.alias("checks"),
+        same_tx.alias("same_tx"), dy.alias("year_delta"), dkm.alias("km_delta"), battery_check.isin("relaxed", "unavailable").alias("battery_open"), checks.alias("checks"),
     )
 
 
+def pair_decisions(targets: DataFrame, candidates: DataFrame) -> DataFrame:
+    """target_id, candidate_id, level, reason of every pair of one make, model family and fuel whose years are known: the
+    level of those that match, and of the others the first thing that keeps them apart. For audits; the pairs of a hot
+    model are as many as its candidates a target, so targets should be few."""
+    t, c = targets.where("make_n <> 'na' and model_k <> 'na' and fuel <> 'na'").alias("t"), candidates.alias("c")
+    j = t.join(c, (F.col("t.make_n") == F.col("c.make_n")) & (F.col("t.model_k") == F.col("c.model_k")) & (F.col("t.fuel") == F.col("c.fuel")))
+    far = lambda v, most: F.coalesce(v > most, F.lit(True))
+    clash = (F.col("t.engine") != "na") & (F.col("c.engine") != "na") & (F.col("t.engine") != F.col("c.engine"))
+    hp_limit = F.greatest(F.lit(HP["limit"]), F.floor(F.coalesce(F.col("t.hp"), F.lit(0)) * HP["share"]))
+    reason = F.when(far(_delta("year"), YEARS["broad"]), "year").when(far(_delta("km"), KM["broad"]), "mileage").when(clash, "engine").when(_delta("cc") > CC["limit"], "displacement").when(_delta("hp") > hp_limit, "power")
+    met = comparable_pairs(targets, candidates).select(F.col("target_id").alias("m_t"), F.col("candidate_id").alias("m_c"), "level")
+    ids = j.select(F.col("t.id").alias("target_id"), F.col("c.id").alias("candidate_id"), reason.alias("reason"))
+    return ids.join(met, (F.col("target_id") == F.col("m_t")) & (F.col("candidate_id") == F.col("m_c")), "left").select("target_id", "candidate_id", "level", F.when(F.col("level").isNull(), F.col("reason")).alias("reason"))
+
+
 def level_counts(pairs: DataFrame, priced_only: bool = True) -> DataFrame:
     """Number of comparables of each level by target."""
     p = pairs.where(F.col("price").isNotNull()) if priced_only else pairs
@@ -84,13 +99,20 @@ def cents(c: Column) -> Column:
     return F.round(c * 100).cast("bigint")
 
 
-def market_statistics(pairs: DataFrame, price_first: bool = True) -> DataFrame:
+def source_label(sources: Column, first: tuple[str, ...] = ()) -> Column:
+    """The sources joined by a plus: those of `first` in its order, then the others by letters."""
+    own = F.array(*map(F.lit, first)).cast("array<string>")
+    return F.array_join(F.concat(F.array_intersect(own, sources), F.array_sort(F.array_except(sources, own))), "+")
+
+
+def market_statistics(pairs: DataFrame, price_first: bool = True, first_sources: tuple[str, ...] = ()) -> DataFrame:
     """target_id, level, n, average, median, least and greatest price of the best level that has comparables, confidence,
     sources, warnings. With `price_first` unpriced comparables are dropped before the level is chosen, else after, which
     may leave a target without figures. At level near, comparables with the same gearbox are used alone if there are any.
     """
     rank = F.when(F.col("level") == "exact", 1).when(F.col("level") == "near", 2).otherwise(3)
-    p = (pairs.where(F.col("price").isNotNull()) if price_first else pairs).withColumn("rank", rank)
+    p = pairs.select("target_id", "level", "price", "candidate_source", "same_tx", "battery_open")  # what the shuffle has to carry
+    p = (p.where(F.col("price").isNotNull()) if price_first else p).withColumn("rank", rank)
     w = Window.partitionBy("target_id")
     p = p.withColumn("best", F.min("rank").over(w)).where(F.col("rank") == F.col("best"))
     p = p.where(F.col("price").isNotNull())
@@ -98,8 +120,8 @@ def market_statistics(pairs: DataFrame, price_first: bool = True) -> DataFrame:
     p = p.where((F.col("level") != "near") | ~F.col("any_tx") | F.col("same_tx"))
     s = p.groupBy("target_id", "level").agg(
         F.count("*").alias("n"), F.sum(cents(F.col("price"))).alias("sum_cents"), F.median("price").alias("median"), F.min("price").alias("least"), F.max("price").alias("greatest"),
-        F.first("at_level").alias("at_level"), F.array_join(F.array_sort(F.collect_set("candidate_source")), "+").alias("sources"),
-        F.max(F.col("checks")["battery"].isin("relaxed", "unavailable")).alias("battery_open"),
+        F.first("at_level").alias("at_level"), source_label(F.collect_set("candidate_source"), first_sources).alias("sources"),
+        F.max("battery_open").alias("battery_open"),
     )
     confidence = F.when(F.col("level") == "exact", F.lit("high")).when(F.col("level") == "near", F.lit("medium")).otherwise(F.lit("low"))
     warnings = F.array_compact(F.array(

@@ -44,15 +44,45 @@ def catalogue(df: DataFrame, top: str, sub: str) -> DataFrame:
     return df.where(F.col(top).isNotNull()).groupBy(top).agg(F.countDistinct(sub).alias("entries"), F.count("*").alias("rows")).orderBy(top)
 
 
+#: Entries of a reference list that is looked up by containment in whole, at most.
+MOST_ENTRIES = 100_000
+
+
+def catalogue_names(df: DataFrame, top: str, sub: str) -> DataFrame:
+    """top, names: the sub-entries of each entry, sorted, each once, joined by commas; the names of a catalogue, not its rows,
+    meet in one array."""
+    per = df.where(F.col(top).isNotNull()).groupBy(F.col(top).alias("top"), F.col(sub).alias("sub")).agg(F.lit(1))
+    return per.groupBy("top").agg(F.nullif(F.array_join(F.array_sort(F.collect_list("sub")), ","), F.lit("")).alias("names"))
+
+
+def lookup_within(wanted: DataFrame, entries: DataFrame, within: str) -> DataFrame:
+    """within, wanted, id, how: the entry of the same `within` (letter case aside) with the same name; else the first that
+    holds it or is held by it. All joins are on `within`, and names are distinct before they meet."""
+    e = entries.where("name is not null").select(F.lower(within).alias("_e"), "id", F.lower("name").alias("n")).distinct()
+    w = wanted.where("wanted is not null").select(F.lower(within).alias(within), "wanted", F.lower(F.trim("wanted")).alias("w")).distinct()
+    same = w.join(e, (F.col(within) == F.col("_e")) & (F.col("w") == F.col("n"))).groupBy(within, "wanted").agg(F.min("id").alias("id"), F.lit("equal").alias("how"))
+    rest = w.where("w <> ''").join(same, [within, "wanted"], "left_anti")
+    part = rest.join(e, (F.col(within) == F.col("_e")) & (F.col("n").contains(F.col("w")) | F.col("w").contains(F.col("n")))).groupBy(within, "wanted").agg(F.min("id").alias("id"), F.lit("part").alias("how"))
+    return same.unionByName(part)
+
+
 def catalogue_lookup(wanted: DataFrame, entries: DataFrame) -> DataFrame:
     """wanted, id: the entry with the same name, letter case aside; else the first that holds it or is held by it.
 
-    The first pass is an equi-join. Only what it leaves meets the entries by containment; the entries are a reference list."""
-    e = entries.select(F.col("id"), F.lower("name").alias("n"))
+    The first pass is an equi-join. Only the distinct names it leaves meet the entries by containment: either holds a
+    triple of letters of the other, so they are joined on triples, and names under three letters with the whole list,
+    which is a reference list of at most MOST_ENTRIES (more raise)."""
+    e = entries.where("name is not null").select(F.col("id"), F.lower("name").alias("n")).distinct()
     w = wanted.select("wanted", F.lower(F.trim("wanted")).alias("w")).distinct()
     same = w.join(e, F.col("w") == F.col("n")).groupBy("wanted").agg(F.min("id").alias("id"), F.lit("equal").alias("how"))
     rest = w.where("w <> ''").join(same, "wanted", "left_anti")
-    part = rest.join(e, F.col("n").contains(F.col("w")) | F.col("w").contains(F.col("n"))).groupBy("wanted").agg(F.min("id").alias("id"), F.lit("part").alias("how"))
+    triples = lambda c: F.array_distinct(F.when(F.length(c) >= 3, F.transform(F.sequence(F.lit(1), F.length(c) - 2), lambda i: F.substring(F.col(c), i, F.lit(3)))))
+    held = F.col("n").contains(F.col("w")) | F.col("w").contains(F.col("n"))
+    long = rest.select("wanted", "w", F.explode(triples("w")).alias("g")).join(e.select("id", "n", F.explode(triples("n")).alias("g")), "g").where(held).select("wanted", "id")
+    if e.where("n <> ''").limit(MOST_ENTRIES + 1).count() > MOST_ENTRIES:
+        raise ValueError("the entries are no reference list")
+    short = rest.join(F.broadcast(e), held & ((F.length("w") < 3) | (F.length("n") < 3))).select("wanted", "id")
+    part = long.unionByName(short).groupBy("wanted").agg(F.min("id").alias("id"), F.lit("part").alias("how"))
     return same.unionByName(part)
 
 

@@ -11,10 +11,21 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+#: Windows that a slice of a key's time covers.
+WINDOWS_PER_SLICE = 100
+
+
 def offered_load(df: DataFrame, key: str, ts: str, seconds: int) -> DataFrame:
-    """Adds the number of the key's events in the last `seconds`, this one included."""
-    w = Window.partitionBy(key).orderBy(F.unix_micros(F.col(ts).cast("timestamp"))).rangeBetween(-seconds * 1_000_000 + 1, 0)
-    return df.withColumn("load", F.count("*").over(w))
+    """Adds the number of the key's events in the last `seconds`, this one included. Keys are cut into slices of time; what
+    the start of a slice has to look back on is copied into it, so a hot key is shared out over its slices. Null times have
+    a load of null."""
+    at, width = F.unix_micros(F.col(ts).cast("timestamp")), seconds * WINDOWS_PER_SLICE * 1_000_000
+    own = df.withColumn("_at", at).withColumn("_slice", F.floor(F.col("_at") / width))
+    into_next = F.col("_at") - F.col("_slice") * width > width - seconds * 1_000_000
+    copies = F.when(into_next, F.array(F.struct(F.col("_slice").alias("s"), F.lit(False).alias("copy")), F.struct((F.col("_slice") + 1).alias("s"), F.lit(True).alias("copy")))).otherwise(F.array(F.struct(F.col("_slice").alias("s"), F.lit(False).alias("copy"))))
+    cut = own.withColumn("_c", F.explode(copies))
+    w = Window.partitionBy(key, F.col("_c.s")).orderBy("_at").rangeBetween(-seconds * 1_000_000 + 1, 0)
+    return cut.withColumn("load", F.when(F.col("_at").isNotNull(), F.count("_at").over(w))).where(~F.col("_c.copy")).drop("_at", "_slice", "_c")
 
 
 class Limiter:

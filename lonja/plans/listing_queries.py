@@ -58,9 +58,10 @@ def missing_fields(spark, d):
     return df.select("row_id", rows.missing_fields(df).alias("missing"))
 
 
-def _pairs(spark, d):
+def _pairs(spark, d, deduped=False):
     df = _l(spark, d)
-    return matching.comparable_pairs(matching.keyed(df.where("country_code = 'DE'")), matching.keyed(df.where("country_code = 'ES'")))
+    pool = df.where("country_code = 'ES'")
+    return matching.comparable_pairs(matching.keyed(df.where("country_code = 'DE'")), matching.keyed(rows.dedupe_listings(pool) if deduped else pool))
 
 
 def match_pairs(spark, d):
@@ -69,7 +70,7 @@ def match_pairs(spark, d):
 
 def match_checks(spark, d):
     c = F.col("checks")
-    return _pairs(spark, d).select("target_id", "candidate_id", *[c[k].alias(f"check_{k}") for k in ("version", "year", "transmission", "battery")])
+    return _pairs(spark, d).select("target_id", "candidate_id", *[c[k].alias(f"check_{k}") for k in ("make", "model", "fuel", "version", "year", "mileage", "transmission", "battery")])
 
 
 def match_level_counts(spark, d):
@@ -77,11 +78,17 @@ def match_level_counts(spark, d):
 
 
 def market_reference(spark, d):
-    return matching.market_statistics(_pairs(spark, d))
+    """The statistics of each target's comparables, repeated cards of one vehicle left out of the pool."""
+    return matching.market_statistics(_pairs(spark, d, deduped=True))
 
 
 def market_reference_level_first(spark, d):
-    return matching.market_statistics(_pairs(spark, d), price_first=False)
+    return matching.market_statistics(_pairs(spark, d, deduped=True), price_first=False)
+
+
+def market_reference_undeduped(spark, d):
+    """The same over the pool as it is."""
+    return matching.market_statistics(_pairs(spark, d))
 
 
 def search_envelope(spark, d):
@@ -97,13 +104,14 @@ def co2_memory_fold(spark, d):
 
 
 def co2_enrich(spark, d):
+    """Enriched from what a stepwise update leaves in the memory."""
     df = _l(spark, d)
-    return enrich.enrich_co2(df, enrich.memory_mean(df))
+    return enrich.enrich_co2(df, enrich.memory_fold(df))
 
 
 QUERIES = {f.__name__: f for f in (
     market_reference, listings_projection, export_flat, filter_unified, filter_tokens, text_keys, engine_keys, vehicle_signature, dedupe_best, missing_fields, match_pairs, match_checks,
-    match_level_counts, market_reference_level_first, search_envelope, co2_memory, co2_memory_fold, co2_enrich,
+    match_level_counts, market_reference_level_first, market_reference_undeduped, search_envelope, co2_memory, co2_memory_fold, co2_enrich,
 )}
 
 
@@ -165,11 +173,16 @@ m AS (SELECT *, {_model_key('model_n')} AS model_k, {_fuel('fuel_n')} AS fuel, {
 v AS (SELECT *, {_variant('tk')} AS variant FROM m),
 k AS (SELECT *, {_engine()} AS engine FROM v)"""
 
-PAIRS = f"""{KEYED},
+_BEST = f"""SELECT row_id FROM (SELECT *, row_number() OVER (PARTITION BY {N('make')}, {N('model')}, first_registration.year, mileage_km, CAST(round(price_eur * 100) AS bigint), power_hp, {_fuel('fuel_n')}, {N('transmission')}
+  ORDER BY (coalesce(version, '') <> '')::int + (engine_displacement_cc IS NOT NULL)::int + (coalesce(transmission, '') <> '')::int + (coalesce(seller_dealer_id, '') <> '')::int DESC, row_id) AS rn FROM (SELECT *, {N('fuel_type')} AS fuel_n FROM listings WHERE country_code = 'ES')) WHERE rn = 1"""
+
+
+def _pairs_sql(pool: str) -> str:
+    return f"""{KEYED},
 j AS (
   SELECT t.id AS target_id, c.id AS candidate_id, c.price, c.source AS candidate_source, t.fuel, abs(t.year - c.year) AS year_delta, abs(t.km - c.km) AS km_delta, abs(t.cc - c.cc) AS dcc, abs(t.hp - c.hp) AS dhp,
     coalesce(t.tx = c.tx, false) AS same_tx, t.tx AS ttx, c.tx AS ctx, t.engine <> 'na' AND t.engine = c.engine AS same
-  FROM k t JOIN k c ON t.make_n = c.make_n AND t.model_k = c.model_k AND t.fuel = c.fuel AND abs(t.year - c.year) <= 4 AND abs(t.km - c.km) <= 60000
+  FROM k t JOIN {pool} c ON t.make_n = c.make_n AND t.model_k = c.model_k AND t.fuel = c.fuel AND abs(t.year - c.year) <= 4 AND abs(t.km - c.km) <= 60000
   WHERE t.country_code = 'DE' AND c.country_code = 'ES' AND t.make_n <> 'na' AND t.model_k <> 'na' AND t.fuel <> 'na'
     AND NOT (t.engine <> 'na' AND c.engine <> 'na' AND t.engine <> c.engine) AND coalesce(abs(t.cc - c.cc), 0) <= 500 AND coalesce(abs(t.hp - c.hp), 0) <= greatest(60, floor(coalesce(t.hp, 0) * 0.25::double))),
 p AS (
@@ -177,9 +190,12 @@ p AS (
     WHEN same AND (fuel = 'electric' OR coalesce(dcc <= 300, false)) AND coalesce(dhp <= 30, false) AND year_delta <= 2 AND km_delta <= 35000 AND fuel NOT IN ('electric', 'phev') THEN 'near' ELSE 'broad' END AS level FROM j)"""
 
 
-def _reference(price_first: bool) -> str:
+PAIRS, DEDUPED_PAIRS = _pairs_sql("k"), _pairs_sql(f"(SELECT * FROM k WHERE id IN ({_BEST}))")
+
+
+def _reference(price_first: bool, pairs: str = DEDUPED_PAIRS) -> str:
     pool = "(SELECT * FROM p WHERE price IS NOT NULL)" if price_first else "p"
-    return f"""WITH {PAIRS},
+    return f"""WITH {pairs},
 r AS (SELECT *, CASE level WHEN 'exact' THEN 1 WHEN 'near' THEN 2 ELSE 3 END AS rank FROM {pool}),
 b AS (SELECT * FROM (SELECT *, min(rank) OVER (PARTITION BY target_id) AS best FROM r) WHERE rank = best AND price IS NOT NULL),
 x AS (SELECT *, bool_or(same_tx) OVER (PARTITION BY target_id) AS any_tx, count(*) OVER (PARTITION BY target_id) AS at_level FROM b),
@@ -194,6 +210,7 @@ _BODY_N = "trim(regexp_replace(regexp_replace(lower(trim(translate(coalesce(body
 _BODY = "CASE " + " ".join("WHEN list_has_any(string_split(body_n, ' '), " + _list(p for p in ps if " " not in p) + ") " + " ".join(f"OR contains(body_n, '{p}')" for p in ps if " " in p) + f" THEN '{k}'" for k, ps in K.BODY_WORDS.items()) + " END"
 _MEM = f"CASE WHEN first_registration.year IS NOT NULL AND coalesce(make, '') <> '' AND coalesce(model, '') <> '' AND coalesce(version, '') <> '' THEN {N('make')} || '|' || {N('model')} || '|' || {N('version')} || '|' || first_registration.year END"
 _MEMORY = f"mem AS (SELECT key, count(*) AS samples, min(co2_emissions_g_km) AS co2_min, max(co2_emissions_g_km) AS co2_max, CAST(sum(co2_emissions_g_km) AS double) / count(*) AS co2_avg FROM (SELECT *, {_MEM} AS key FROM listings) WHERE key IS NOT NULL AND co2_emissions_g_km IS NOT NULL AND source NOT IN ('manual', 'user', 'public') GROUP BY key)"
+_FOLD = f"mem AS (SELECT key, count(*) AS samples, min(co2_emissions_g_km) AS co2_min, max(co2_emissions_g_km) AS co2_max, list_reduce(list(co2_emissions_g_km::double ORDER BY row_id), lambda a, x, i: round_even((a * (i - 1) + x) / i, 2)) AS co2_avg FROM (SELECT *, {_MEM} AS key FROM listings) WHERE key IS NOT NULL AND co2_emissions_g_km IS NOT NULL AND source NOT IN ('manual', 'user', 'public') GROUP BY key)"
 _EXPORT = "listing_id, source, scraped_at, title, make, model, version, price_eur AS price_gross_eur, price_net_eur, original_price, original_currency, price_raw, vat_deductible, mileage_km, fuel_type, transmission, power_hp, power_kw, power_raw, engine_displacement_cc, body_type, color_exterior, co2_emissions_g_km, country_code, city, seller_type, seller_dealer_id, unregistered_new"
 
 ORACLE = {
@@ -215,15 +232,17 @@ ORACLE = {
       CASE WHEN engine_displacement_cc IS NULL AND ({_fuel('fuel_n')}) NOT IN ('electric', 'hydrogen') THEN 'engine_displacement_cc' END, CASE WHEN power_kw IS NULL AND power_hp IS NULL THEN 'power' END, CASE WHEN mileage_km IS NULL THEN 'mileage_km' END) AS missing
       FROM (SELECT *, {N('fuel_type')} AS fuel_n FROM listings)""",
     "match_pairs": f"WITH {PAIRS} SELECT target_id, candidate_id, level, year_delta, km_delta, same_tx FROM p",
-    "match_checks": f"""WITH {PAIRS} SELECT target_id, candidate_id, CASE WHEN level IN ('exact', 'near') THEN 'match' WHEN same THEN 'relaxed' ELSE 'unavailable' END AS check_version, CASE WHEN level = 'broad' THEN 'relaxed' ELSE 'match' END AS check_year,
+    "match_checks": f"""WITH {PAIRS} SELECT target_id, candidate_id, 'match' AS check_make, 'match' AS check_model, 'match' AS check_fuel, 'match' AS check_mileage, CASE WHEN level IN ('exact', 'near') THEN 'match' WHEN same THEN 'relaxed' ELSE 'unavailable' END AS check_version, CASE WHEN level = 'broad' THEN 'relaxed' ELSE 'match' END AS check_year,
       CASE WHEN ttx IS NULL OR ctx IS NULL THEN 'unavailable' WHEN same_tx THEN 'match' WHEN level = 'exact' THEN 'mismatch' ELSE 'relaxed' END AS check_transmission, 'unavailable' AS check_battery FROM p""",
     "match_level_counts": f"WITH {PAIRS} SELECT target_id, count(*) FILTER (level = 'exact') AS exact_n, count(*) FILTER (level = 'near') AS near_n, count(*) FILTER (level = 'broad') AS broad_n FROM p WHERE price IS NOT NULL GROUP BY target_id",
     "market_reference": _reference(True),
     "market_reference_level_first": _reference(False),
+    "market_reference_undeduped": _reference(True, PAIRS),
     "search_envelope": f"""WITH {KEYED}, s AS (SELECT *, greatest(60, CAST(round_even(hp * 0.25::double, 0) AS int)) AS span FROM k WHERE country_code = 'DE') SELECT id, year - 4 AS min_year, year + 4 AS max_year, greatest(0, km - 60000) AS min_km, km + 60000 AS max_km,
       greatest(0, hp - span) AS min_hp, hp + span AS max_hp, CASE WHEN fuel NOT IN ('phev', 'other', 'na') THEN fuel END AS fuel FROM s""",
     "co2_memory": f"WITH {_MEMORY} SELECT * FROM mem",
-    "co2_enrich": f"""WITH {_MEMORY}, l AS (SELECT *, {_MEM} AS key, {N('fuel_type')} AS fuel_n FROM listings), f AS (SELECT *, {_fuel('fuel_n')} AS fuel FROM l)
+    "co2_memory_fold": f"WITH {_FOLD} SELECT * FROM mem",
+    "co2_enrich": f"""WITH {_FOLD}, l AS (SELECT *, {_MEM} AS key, {N('fuel_type')} AS fuel_n FROM listings), f AS (SELECT *, {_fuel('fuel_n')} AS fuel FROM l)
       SELECT row_id, CASE WHEN co2_emissions_g_km IS NOT NULL THEN co2_emissions_g_km WHEN fuel = 'electric' THEN 0 WHEN co2_avg IS NOT NULL THEN CAST(round_even(co2_avg, 0) AS int) END AS co2_g_km,
       CASE WHEN co2_emissions_g_km IS NOT NULL THEN 'listing' WHEN fuel = 'electric' THEN 'electric_zero' WHEN co2_avg IS NOT NULL THEN 'memory' ELSE 'missing' END AS co2_source,
       CASE WHEN co2_emissions_g_km IS NOT NULL OR fuel = 'electric' THEN 1.0 WHEN co2_avg IS NOT NULL THEN 0.9 ELSE 0.0 END::double AS co2_confidence FROM f LEFT JOIN mem USING (key)""",

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from lonja.plans import listing_queries, official_queries, problems, table_queries
+from lonja.plans import listing_queries, official_queries, problems, source_queries, table_queries
 
-MODULES = (problems, listing_queries, official_queries, table_queries)
+MODULES = (problems, listing_queries, official_queries, table_queries, source_queries)
 FLAGSHIP = listing_queries.market_reference
 
 

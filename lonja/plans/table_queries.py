@@ -14,7 +14,7 @@ def price_summary(spark, d):
 
 
 def comparison_summary(spark, d):
-    return profile.comparison_summary(matching.market_statistics(L._pairs(spark, d)))
+    return profile.comparison_summary(L.market_reference(spark, d))
 
 
 def profile_counts(spark, d):
@@ -73,7 +73,8 @@ def upsert_latest(spark, d):
 
 
 def unused_ids_anti(spark, d):
-    return rows.unused(table(spark, d, "customer").select("c_custkey"), table(spark, d, "orders").withColumnRenamed("o_custkey", "c_custkey"), "c_custkey")
+    """Customers without an urgent order."""
+    return rows.unused(table(spark, d, "customer").select("c_custkey"), table(spark, d, "orders").where("o_orderpriority = '1-URGENT'").withColumnRenamed("o_custkey", "c_custkey"), "c_custkey")
 
 
 def overlap_ids(spark, d):
@@ -82,12 +83,6 @@ def overlap_ids(spark, d):
     return ids(l).intersect(ids(s))
 
 
-def union_sources(spark, d):
-    l = table(spark, d, "listings")
-    parts = [l.where(F.col("country_code") == c).select("row_id", F.lit(c).alias("market"), "price_eur") for c in ("DE", "ES")]
-    return parts[0].unionByName(parts[1])
-
-
 def ordered_distinct(spark, d):
     """Each source's makes in order of first scrape, without repeats."""
     l = table(spark, d, "listings").where("make is not null").groupBy("source", "make").agg(F.min("row_id").alias("first_row"))
@@ -119,7 +114,7 @@ def event_hours(spark, d):
 
 QUERIES = {f.__name__: f for f in (
     price_summary, comparison_summary, profile_counts, missing_profile, quartile_outliers, catalogue, catalogue_lookup, nearest_five, top_listings, dashboard_activity, calc_with_lead, latest_lead, gdpr_erase,
-    upsert_latest, unused_ids_anti, overlap_ids, union_sources, ordered_distinct, offered_load_window, rate_limit_exact, advert_history, json_props, event_hours,
+    upsert_latest, unused_ids_anti, overlap_ids, ordered_distinct, offered_load_window, rate_limit_exact, advert_history, json_props, event_hours,
 )}
 
 _REF = L.ORACLE["market_reference"]
@@ -140,9 +135,8 @@ ORACLE = {
     "latest_lead": "SELECT c_custkey, o_orderkey, o_orderstatus FROM customer LEFT JOIN (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS rn FROM orders) WHERE rn = 1) ON o_custkey = c_custkey",
     "gdpr_erase": "SELECT c_custkey, CASE WHEN lower(c_mktsegment) = 'building' THEN NULL ELSE c_name END AS c_name, c_nationkey, CASE WHEN lower(c_mktsegment) = 'building' THEN NULL ELSE c_acctbal END AS c_acctbal, c_mktsegment, lower(c_mktsegment) = 'building' AS erased FROM customer",
     "upsert_latest": "SELECT source, listing_id, scraped_at, row_id, price_eur FROM (SELECT source, lower(trim(listing_id)) AS listing_id, scraped_at, row_id, price_eur, row_number() OVER (PARTITION BY source, lower(trim(listing_id)) ORDER BY scraped_at DESC, row_id DESC) AS rn FROM listings) WHERE rn = 1",
-    "unused_ids_anti": "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_custkey IS NOT NULL)",
+    "unused_ids_anti": "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_custkey IS NOT NULL AND o_orderpriority = '1-URGENT')",
     "overlap_ids": "SELECT source, lower(trim(listing_id)) AS listing_id FROM listings INTERSECT SELECT source, lower(trim(listing_id)) FROM listing_snapshots",
-    "union_sources": "SELECT row_id, country_code AS market, price_eur FROM listings WHERE country_code = 'DE' UNION ALL SELECT row_id, country_code, price_eur FROM listings WHERE country_code = 'ES'",
     "ordered_distinct": "SELECT source, make, min(row_id) AS first_row FROM listings WHERE make IS NOT NULL GROUP BY source, make",
     "offered_load_window": "SELECT event_id, user_id, count(*) OVER (PARTITION BY user_id ORDER BY epoch_us(ts) RANGE BETWEEN 59999999 PRECEDING AND CURRENT ROW) AS load FROM events",
     "advert_history": """WITH a AS (SELECT snapshot_id, snapshot_date, source, lower(trim(listing_id)) AS listing_id, arg_max(coalesce(CAST(round(price_eur * 100) AS bigint), -1), (scraped_at, coalesce(CAST(round(price_eur * 100) AS bigint), -1))) AS c FROM listing_snapshots GROUP BY 1, 2, 3, 4),

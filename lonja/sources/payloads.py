@@ -38,10 +38,11 @@ def registration(c: Column) -> Column:
     return F.when(y.isNotNull(), F.struct(y.alias("year"), F.when(m.between(1, 12), m).alias("month")))
 
 
-def litres_to_cc(c: Column) -> Column:
-    """`2.0 TDI` as 2000; a figure outside half a litre to nine is none."""
+def litres_to_cc(c: Column, fuel: Column | None = None) -> Column:
+    """`2.0 TDI` as 2000; a figure outside half a litre to nine is none, and an electric vehicle has none."""
     v = F.replace(F.regexp_extract(c, r"(?:^|[^\d.,])(\d[.,]\d)(?![\d.,]|\s*(?:kw|kwh|km))", 1), F.lit(","), F.lit(".")).try_cast("double")
-    return F.when(v.between(0.5, 9.0), F.round(v * 1000).cast("int"))
+    electric = F.lit(False) if fuel is None else F.coalesce(F.lower(fuel).rlike("^(?:elec|elek|eléc|élec)"), F.lit(False))
+    return F.when(v.between(0.5, 9.0) & ~electric, F.round(v * 1000).cast("int"))
 
 
 def framework_chunks(html: Column) -> Column:
@@ -172,39 +173,43 @@ def script_listings(pages: DataFrame, html: str = "html") -> DataFrame:
     body = F.regexp_extract(html, r'(?s)<script[^>]*id="__NEXT_DATA__"[^>]*>(.*?)</script>', 1)
     item = "struct<id:string,price:struct<priceFormatted:string>,url:string,vehicle:struct<make:string,model:string,modelVersionInput:string,fuel:string,transmission:string,mileageInKm:string>,vehicleDetails:array<struct<data:string,iconName:string>>>"
     x = pages.select(F.explode(F.from_json(F.get_json_object(body, "$.props.pageProps.listings"), f"array<{item}>")).alias("x"))
-    detail = F.try_element_at(F.filter("x.vehicleDetails", lambda d: d.iconName.isin("speedometer", "power")), F.lit(1)).data
-    kw = F.regexp_extract(detail, r"(\d+)\s*kW", 1).try_cast("int")
+    # the first detail under one of the icons that holds a power: the icon of the speedometer also stands by the mileage
+    power = F.filter("x.vehicleDetails", lambda d: d.iconName.isin("speedometer", "power") & d.data.rlike(r"\d\s*kW"))
+    kw = F.regexp_extract(F.try_element_at(power, F.lit(1)).data, r"(\d+)\s*kW", 1).try_cast("int")
     return x.select(
         F.col("x.id").alias("listing_id"), F.col("x.vehicle.make").alias("make"), F.col("x.vehicle.model").alias("model"), F.col("x.vehicle.modelVersionInput").alias("version"), F.col("x.vehicle.fuel").alias("fuel_type"),
         F.col("x.vehicle.transmission").alias("transmission"), localized_integer(F.col("x.vehicle.mileageInKm")).alias("mileage_km"), localized_integer(F.col("x.price.priceFormatted")).cast("double").alias("price_eur"),
-        kw.alias("power_kw"), litres_to_cc(F.col("x.vehicle.modelVersionInput")).alias("engine_displacement_cc"),
+        kw.alias("power_kw"), litres_to_cc(F.col("x.vehicle.modelVersionInput"), F.col("x.vehicle.fuel")).alias("engine_displacement_cc"),
     )
 
 
-_KWH = re.compile(r"(?<![\d.,])(\d{1,3}(?:[.,]\d{1,2})?)\s*kwh\b", re.I)
-# Keys under which a battery's capacity is declared, letters only, lower case.
+_KWH_FIGURE = re.compile(r"(?<![\d.,])\d{1,3}(?:[.,]\d\d?)?(?=\s*kwh\b)", re.I)
+_BARE_FIGURE = re.compile(r"\d+(?:[.,]\d+)?")
+# Keys under which a battery's capacity is declared, letters only, lower case; and what a battery can hold.
 _CAPACITY_KEYS = {"batterycapacity", "batterycapacityinkwh", "batterycapacitykwh", "usablebatterycapacity"}
+_LEAST_KWH, _MOST_KWH = 1, 250
+
+
+def _capacity_texts(payload) -> Iterator[tuple[bool, str]]:
+    """(declared, text) of every value of nested JSON: of an object what its keys declare, then all it holds, depth first."""
+    stack: list[tuple[bool, object]] = [(False, payload)]
+    while stack:
+        declared, node = stack.pop()
+        if declared or not isinstance(node, dict | list):
+            yield declared, "" if node is None else str(node)
+            continue
+        below = [(False, v) for v in (node.values() if isinstance(node, dict) else node)]
+        named = [(True, v) for k, v in node.items() if re.sub("[^a-z]", "", str(k).lower()) in _CAPACITY_KEYS] if isinstance(node, dict) else []
+        stack += reversed(named + below)
 
 
 def battery_kwh(payload) -> float | None:
-    """Declared capacity in nested JSON: known keys of a level first, then what lies below; a text needs its unit."""
-
-    def sound(x: float) -> float | None:
-        return round(x, 2) if 1 <= x <= 250 else None
-
-    if isinstance(payload, dict):
-        for k, v in payload.items():
-            if re.sub(r"[^a-z]", "", str(k).lower()) in _CAPACITY_KEYS and v not in (None, ""):
-                m = _KWH.search(str(v)) or re.fullmatch(r"\s*(\d+(?:[.,]\d+)?)\s*", str(v))
-                if m and (got := sound(float(m[1].replace(",", ".")))) is not None:
-                    return got
-        below = payload.values()
-    elif isinstance(payload, list):
-        below = payload
-    else:
-        m = _KWH.search(str(payload)) if payload not in (None, "") else None
-        return sound(float(m[1].replace(",", "."))) if m else None
-    return next((g for g in map(battery_kwh, below) if g is not None), None)
+    """The first sound capacity in nested JSON. A text needs its unit, except under a key that declares a capacity."""
+    for declared, text in _capacity_texts(payload):
+        m = _KWH_FIGURE.search(text) or (_BARE_FIGURE.fullmatch(text.strip()) if declared else None)
+        if m and _LEAST_KWH <= (kwh := float(m[0].replace(",", "."))) <= _MOST_KWH:
+            return round(kwh, 2)
+    return None
 
 
 @F.pandas_udf(T.DoubleType())
@@ -221,14 +226,21 @@ def battery_capacity(s: pd.Series) -> pd.Series:
 
 
 def image_urls(json_text: Column, most: int = 8) -> Column:
-    """The first distinct image addresses anywhere in a JSON text."""
-    return F.slice(F.array_distinct(F.regexp_extract_all(json_text, F.lit(r'"(https?://[^"\s]+\.(?:jpe?g|png|webp)[^"\s]*)"'), F.lit(1))), 1, most)
-
-
-def route_url(url: Column) -> Column:
-    """struct<source, listing_id> by host and id of an allowed address; null for others."""
-    host, path = F.parse_url(url, F.lit("HOST")), F.parse_url(url, F.lit("PATH"))
-    by_query = F.try_parse_url(url, F.lit("QUERY"), F.lit("id"))
-    tail = F.regexp_extract(path, r"([0-9a-f]{8}-[0-9a-f-]{27}|\d{5,})(?:\.html?)?/?$", 1)
-    lid = F.coalesce(by_query, F.nullif(tail, F.lit("")))
-    return F.when(host.isNotNull() & lid.isNotNull(), F.struct(F.regexp_replace(host, r"^(?:www|m|suchen)\.", "").alias("source"), lid.alias("listing_id")))
+    """The first distinct image addresses anywhere in a JSON text: those that say they are one, by word or by ending."""
+    url = r"https?://[^\s\"\\\\]+"
+    by_word = rf'"({url})"'
+    found = F.regexp_extract_all(json_text, F.lit(by_word), F.lit(1))
+    tells = F.filter(found, lambda u: F.lower(u).rlike("image|photo|jpg|jpeg|png|webp"))
+    return F.slice(F.array_distinct(tells), 1, most)
+
+
+def route_url(url: Column, hosts: dict[str, str]) -> Column:
+    """struct<source, listing_id> of an address: only https, only the hosts allowed (each with its source), and an id of
+    digits in the query or before `.html`, or a UUID at the end; null for all others."""
+    host = F.lower(F.try_parse_url(url, F.lit("HOST")))
+    source = F.try_element_at(F.create_map(*[F.lit(x) for kv in hosts.items() for x in kv]), host)
+    asked = F.try_parse_url(url, F.lit("QUERY"), F.lit("id"))
+    path = F.try_parse_url(url, F.lit("PATH"))
+    ends = F.coalesce(F.nullif(F.regexp_extract(path, r"/(\d+)\.html$", 1), F.lit("")), F.nullif(F.regexp_extract(path, r"([0-9a-f]{8}(?:-[0-9a-f]{4}){3}-[0-9a-f]{12})/?$", 1), F.lit("")))
+    lid = F.coalesce(F.when(asked.rlike(r"^\d+$"), asked), ends)
+    return F.when((F.try_parse_url(url, F.lit("PROTOCOL")) == "https") & source.isNotNull() & lid.isNotNull(), F.struct(source.alias("source"), lid.alias("listing_id")))

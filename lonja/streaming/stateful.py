@@ -12,24 +12,35 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from lonja.operators.timelines import Limiter
 
 
-def limit_stream(events: DataFrame, key: str, ts: str, limit: int, seconds: int) -> DataFrame:
-    """key, ts, accepted for each event of a stream. The state of a key is the times accepted within the window, at most
-    `limit`; it ends when the key stays silent for a window."""
+def limit_stream(events: DataFrame, key: str, ts: str, limit: int, seconds: int, late: str = "10 minutes") -> DataFrame:
+    """key, ts, accepted for each event of a stream, judged in the order of event time whatever the order of arrival: an
+    event waits in its key's state until the watermark, `late` behind the latest event, has passed it. Events later than the
+    watermark are dropped. The state of a key is what waits and the times accepted within the window, at most `limit`; it
+    ends when the watermark is a window past the last of them. Null keys are a key; null times are dropped."""
+    schema = "times array<double>, waiting array<double>"
 
     def step(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
+        kept, waiting = (list(x) for x in state.get) if state.exists else ([], [])
+        for pdf in batches:
+            waiting += [t.value / 1e9 for t in pdf[ts]]
+        passed = state.getCurrentWatermarkMs() / 1000
+        due = sorted(t for t in waiting if t <= passed)
+        waiting = [t for t in waiting if t > passed]
+        lim = Limiter(limit, seconds)
+        lim.kept.extend(kept)
+        out = [lim.accept(t) for t in due]
+        if due:
+            yield pd.DataFrame({key: [k[0]] * len(due), ts: pd.to_datetime(pd.Series(due), unit="s"), "accepted": out})
+        live = [t for t in lim.kept if t > passed - seconds]
+        if not waiting and not live:
             state.remove()
             return
-        lim = Limiter(limit, seconds)
-        lim.kept.extend(state.get[0] if state.exists else [])
-        pdf = pd.concat(list(batches)).sort_values(ts)
-        out = [lim.accept(t.value / 1e9) for t in pdf[ts]]
-        state.update((list(lim.kept),))
-        state.setTimeoutDuration(seconds * 1000)
-        yield pd.DataFrame({key: k[0], ts: pdf[ts].to_numpy(), "accepted": out})
+        state.update((live, waiting))
+        state.setTimeoutTimestamp(int((min(waiting) if waiting else live[-1] + seconds) * 1000) + 1)
 
     kind = dict(events.dtypes)
-    return events.groupBy(key).applyInPandasWithState(step, f"{key} {kind[key]}, {ts} {kind[ts]}, accepted boolean", "times array<double>", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    known = events.select(key, ts).where(F.col(ts).isNotNull()).withWatermark(ts, late)
+    return known.groupBy(key).applyInPandasWithState(step, f"{key} {kind[key]}, {ts} {kind[ts]}, accepted boolean", schema, "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def windowed_counts(events: DataFrame, ts: str, late: str = "10 minutes", width: str = "1 hour") -> DataFrame:

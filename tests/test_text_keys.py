@@ -35,28 +35,31 @@ def test_official_form_joins_figure_and_letter(spark):
 
 
 @pytest.mark.parametrize("label,want", [
-    ("Gasolina, Indicado para E10", "gasoline"), ("Híbrido (gasolina/eléctrico)", "hybrid"), ("Híbrido enchufable", "phev"), ("Plug-in Hybrid", "phev"), ("Diesel", "diesel"), ("Di Esel", "diesel"),
-    ("Eléctrico", "electric"), ("Strom", "electric"), ("GLP", "lpg"), ("Flüssiggas", "lpg"), ("Erdgas", "cng"), ("Gas natural", "cng"), ("Wasserstoff", "hydrogen"), ("Flex Fuel", "ethanol"), ("otro", "other"), ("", "na"), (None, "na"),
+    ("Benzin Super Plus", "gasoline"), ("motor de gasolina 2.0", "gasoline"), ("Hybrid: Benzin + Strom", "hybrid"), ("mild-hybrid Diesel", "hybrid"), ("Hybrid mit Plug", "phev"), ("HÍBRIDO/ENCHUFABLE", "phev"), ("plug-in", "other"),
+    ("biodiesel B7", "diesel"), ("DI-ESEL", "diesel"), ("100 % Strom", "electric"), ("vehículo eléctrico", "electric"), ("Umbau auf Autogas", "lpg"), ("GLP y gasolina", "lpg"), ("CNG+Benzin", "cng"), ("gas-natural vehicular", "cng"),
+    ("Hidrógeno verde", "hydrogen"), ("flex fuel E85", "ethanol"), ("Etanol", "ethanol"), ("Holzvergaser", "other"), ("***", "na"), ("", "na"), (None, "na"),
 ])
 def test_fuel_labels(spark, label, want):
     assert one(spark, K.fuel_category, [label]) == [want]
 
 
 def test_bodies(spark):
-    got = one(spark, K.body_category, ["Geländewagen", "Mini-Van", "Coupé", "station wagon", "Kombi", "Limousine", "small car", "Pickup", None, "Van/Bus"])
-    assert got == ["suv", "monovolumen", "deportivo_gama_alta", "familiar", "familiar", "turismo", "turismo", None, None, "monovolumen"]
+    got = one(spark, K.body_category, ["Kompakt-SUV", "gran Monovolumen", "ROADSTER 2+2", "Estate/Kombi", "sportliche Limousine", "multi-purpose vehicle", "Kastenwagen", "", None, "cabrio Geländewagen", "sedan coupé"])
+    assert got == ["suv", "monovolumen", "deportivo_gama_alta", "familiar", "turismo", "monovolumen", None, None, None, "suv", "deportivo_gama_alta"]
 
 
 def test_model_key(spark):
-    assert one(spark, K.model_key, ["Clase A", "Serie 3", "X 5", "Golf VII", "", None, "na"]) == ["clase_a", "serie_3", "x_5", "golf", "na", "na", "na"]
+    assert one(spark, K.model_key, ["serie Óptima", "CLASE k 200", "q 9 max", "Fadoneta IV", "-", None, "na", "na Kalbaya"]) == ["serie_optima", "clase_k", "q_9", "fadoneta", "na", "na", "na", "kalbaya"]
 
 
 def test_variant_and_engine(spark):
-    rows = [("xDrive30d", "X5", None, "Diesel", 2993), (None, "320 d Touring", None, "Diesel", 1995), ("1.2 PureTech", "208", None, "Gasolina", 1199), (None, "Zoe", None, "Eléctrico", None), (None, "Plain", None, "Gasolina", None)]
+    rows = [("sDrive41e Sport", "Q7", None, "Diesel", 2449), (None, "Kalbaya 417 d lang", None, "Diesel", 1951), ("1.6 Blue HDI", "Fasota", None, "Diesel", 1560), (None, "Zenneridor", None, "Strom", 999), (None, "Schlicht", None, "Benzin", None),
+            ("na 88 x", None, None, "Benzin", 1250), (None, "m 340 i", None, "Benzin", 0), (None, "a 45 z", None, "Benzin", None), ("12 na e", None, None, "Benzin", None)]
     df = K.with_engine(spark.createDataFrame(rows, "version string, title string, model string, fuel_type string, engine_displacement_cc int"))
-    assert [(r.variant, r.engine) for r in df.select("variant", "engine").collect()] == [("30d", "3000:30d"), ("320d", "2000:320d"), ("12", "1200:puretech"), ("na", "electric"), ("na", "na")]
+    assert [(r.variant, r.engine) for r in df.select("variant", "engine").collect()] == [
+        ("41e", "2400:41e"), ("417d", "2000:417d"), ("16", "1600:bluehdi"), ("na", "electric"), ("na", "na"), ("88", "1200:88"), ("m340i", "m340i"), ("a45", "a45"), ("12e", "12e")]
 
 
 def test_contains_tokens(spark):
-    df = spark.createDataFrame([("golf_gti_edition", "gti"), ("golf_gtix", "gti"), ("a_golf_gti", "golf_gti")], "h string, n string")
-    assert [r[0] for r in df.select(contains_tokens(F.col("h"), F.col("n"))).collect()] == [True, False, True]
+    df = spark.createDataFrame([("fasota_rs_black", "rs"), ("fasota_rsx", "rs"), ("neu_fasota_rs", "fasota_rs"), ("rs", "rs")], "h string, n string")
+    assert [r[0] for r in df.select(contains_tokens(F.col("h"), F.col("n"))).collect()] == [True, False, True, True]
