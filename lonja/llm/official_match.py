@@ -28,6 +28,8 @@ FEATURES = ("model", "trim", "drive", "displacement", "power", "gearbox")
 UNKNOWN = 0.7
 ROUNDS = 12
 MODEL_LEAST = 0.75
+#: Model names of the official table, at most: they are broadcast.
+MOST_MODELS = 200_000
 SCHEMA_PARSE = "litres double, cc int, kw double, drive string, trim string, trim_sim double, gear string, models array<struct<model:string,sim:double>>"
 
 
@@ -46,7 +48,9 @@ def learn_lexicon(official: DataFrame) -> Lexicon:
     after = F.filter(F.slice("w", F.col("at") + 1, 3), lambda x: ~x.rlike(r"^\d"))
     trims = [r.trim for r in t.select(F.try_element_at(after, F.lit(1)).alias("trim")).where("trim is not null").groupBy("trim").count().where("count >= 5").select("trim").collect()]
     before = F.filter(F.slice("w", 1, F.greatest(F.col("at") - 1, F.lit(0))), lambda x: ~x.rlike(r"^\d[.,]\d"))
-    models = t.select("brand_key", F.array_join(before, " ").alias("model")).where("model <> ''").distinct().collect()  # names of the reference table
+    models = t.select("brand_key", F.array_join(before, " ").alias("model")).where("model <> ''").distinct().limit(MOST_MODELS + 1).collect()
+    if len(models) > MOST_MODELS:
+        raise ValueError("the official table is no reference table")
     by: dict[str, list[str]] = {}
     for r in models:
         by.setdefault(r.brand_key, []).append(r.model)
@@ -61,8 +65,9 @@ def normal_words(c: str):
     return words(F.col(c))
 
 
-def parse(df: DataFrame, text: str, lex: Lexicon) -> DataFrame:
-    """Adds the readings of a text and the models of the row's brand that it may name."""
+def parse(df: DataFrame, text: str, lex: Lexicon, own_model: bool = False) -> DataFrame:
+    """Adds the readings of a text and all models of the row's brand that it may name, from MODEL_LEAST on; of a text that is
+    of one model (`own_model`) the likest, of equal ones the longest."""
     lexicon = df.sparkSession.sparkContext.broadcast(lex)
 
     @F.pandas_udf(SCHEMA_PARSE)
@@ -70,9 +75,9 @@ def parse(df: DataFrame, text: str, lex: Lexicon) -> DataFrame:
         lx, out = lexicon.value, []
         for t, b in zip(texts, brands):
             r = read(t, lx)
-            sims = [(m, model_likeness(r.rest, m)) for m in lx.models.get(b, ())]
-            top = max((s for _, s in sims), default=0.0)
-            near = [{"model": m, "sim": s} for m, s in sims if s >= max(MODEL_LEAST, top - 0.02)]
+            near = [{"model": m, "sim": s} for m in lx.models.get(b, ()) if (s := model_likeness(r.rest, m)) >= MODEL_LEAST]
+            if own_model:
+                near = sorted(near, key=lambda x: (-x["sim"], -len(x["model"]), x["model"]))[:1]
             out.append((r.litres, r.cc, r.kw, r.drive, r.trim, r.trim_sim, r.gear, near))
         cols = [x.split()[0] for x in SCHEMA_PARSE.split(", ")]
         pdf = pd.DataFrame(out, columns=cols)
@@ -101,11 +106,11 @@ def with_brand_key(df: DataFrame, brand: str, brands: DataFrame) -> DataFrame:
 def candidates(vehicles: DataFrame, official: DataFrame, canon: DataFrame) -> DataFrame:
     """vk, cands: per distinct vehicle description, the official rows of its brand and model in whose commercial period
     its registration lies, with the similarity vector of each. A description's candidates are at most the official rows
-    of one model, so the array is bounded by the reference table."""
+    of its brand, so the array is bounded by the reference table."""
     brands = brand_map([(official, "brand"), (vehicles, "marca")], canon)
     off = materialise(with_brand_key(official.where("id is not null and model_type is not null"), "brand", brands).select("id", "brand_key", "model_type", "commercial_start", "commercial_end", "displacement_cc", "fuel_code", "power_kw", "power_cv"), "official")
     lex = learn_lexicon(off)
-    off = parse(off, "model_type", lex).select(
+    off = parse(off, "model_type", lex, own_model=True).select(
         "id", "brand_key", F.try_element_at("models", F.lit(1)).model.alias("model"), "commercial_start", "commercial_end",
         F.col("displacement_cc").alias("b_cc"), "fuel_code", F.coalesce(F.col("power_kw").cast("double"), F.col("power_cv") * F.lit(0.735499)).alias("b_kw"),
         F.col("drive").alias("b_drive"), F.col("trim").alias("b_trim"),
@@ -158,7 +163,6 @@ class Mixture:
         for sign, m, c in ((1, self.mean[0], self.cov[0]), (-1, self.mean[1], self.cov[1])):
             z = np.linalg.solve(np.linalg.cholesky(c), (x - m).T)
             out += sign * (-0.5 * (z * z).sum(0) - 0.5 * np.linalg.slogdet(c)[1])
-        # beyond the matched mean a vector is no less alike: no penalty for being better than the average match
         return np.clip(out, -60, 60)
 
     def update(self, s: np.ndarray, d: int) -> None:
@@ -236,9 +240,14 @@ def match_official(vehiculos: DataFrame, official: DataFrame, canon: DataFrame)
     """
     keys = ["marca", "modelo", "year", "combustible", "cilindrada_cc", "potencia_kw"]
     rows = vehiculos.select("vehiculo_id", "marca", "modelo", F.year("fecha_primera_matriculacion").alias("year"), "combustible", "cilindrada_cc", F.when(~F.isnan("potencia_kw"), F.col("potencia_kw")).alias("potencia_kw"))
-    rows = rows.where("marca is not null and modelo is not null and year is not null").withColumn("vk", F.xxhash64(*[F.coalesce(F.col(k).cast("string"), F.lit("~")) for k in keys]))
-    rows = materialise(rows, "vehicles")
-    cands = materialise(candidates(rows.dropDuplicates(["vk"]).drop("vehiculo_id"), official, canon), "cands")
+    rows = materialise(rows.where("marca is not null and modelo is not null and year is not null"), "vehicles")
+    # equal descriptions by their values, each with an id of its own
+    texts = materialise(rows.select(*keys).distinct().withColumn("vk", F.monotonically_increasing_id()), "descriptions")
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(f"r.{k}").eqNullSafe(F.col(f"t.{k}"))
+    rows = rows.alias("r").join(texts.alias("t"), same).select("vehiculo_id", "vk")
+    cands = materialise(candidates(texts, official, canon), "cands")
     post = posteriors(cands, fit_mixture(cands))
     best = post.groupBy("vk").agg(F.max(F.struct("posterior", (-F.col("boe_id")).alias("neg"), "x")).alias("b")).select("vk", (-F.col("b.neg")).alias("boe_id"), F.col("b.posterior").alias("confidence"), F.col("b.x").alias("x"))
     x = F.col("x")
