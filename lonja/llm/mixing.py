@@ -8,11 +8,17 @@ from pyspark.sql import functions as F
 from lonja.llm.ranks import sliced
 from lonja.session import materialise
 
-#: How a source's weight leans over the run, from -1 (early) to 1 (late): weight(t) = share * (1 + lean * (2 t - 1)).
-LEAN = {"ads": -0.6, "forum": -0.3, "guides": 0.7, "press": 0.4, "workshop": 0.5, "tax_notes": 0.3, "faq": 0.6}
+#: How far the weights of the sources lean over the run: weight(t) = share * (1 + lean * (2 t - 1)), lean from -1 (early) to 1.
+LEAN = 0.6
+#: Share of a source's demand that may be missing before a further text joins; and rounds after which that is an error.
+MISS, MOST_ROUNDS = 1e-4, 100
 
-#: Rounds in which each source may add a text to come nearer to its share.
-TOP_UPS = 3
+
+def length_leans(per_source: dict[str, tuple[int, int]]) -> dict[str, float]:
+    """The default curriculum: sources of short texts early, of long ones late, evenly spaced by the rank of their mean
+    number of tokens. per_source: tokens and texts."""
+    order = sorted((s for s, (_, n) in per_source.items() if n), key=lambda s: (per_source[s][0] / per_source[s][1], s))
+    return {s: LEAN * (2 * i / (len(order) - 1) - 1) if len(order) > 1 else 0.0 for i, s in enumerate(order)}
 
 
 def mix_plan(totals: dict[str, int], targets: dict[str, tuple[float, int]], lean: dict[str, float], total_tokens: int | None = None) -> dict[str, dict]:
@@ -38,8 +44,8 @@ def mix(docs: DataFrame, targets: DataFrame, lean: dict[str, float] | None = Non
     """position, source, doc_id, use, n_tokens: the mixture in training order; docs(doc_id, source, n_tokens).
 
     Each source's texts stand in a fixed hashed order; use u of a text covers the source's tokens [u * tokens + before,
-    ... + n_tokens). A use is taken if it ends within the source's demand; then at most TOP_UPS further texts join,
-    each the one that comes nearest to what the demand still lacks. No text is used more than max_repeats times. The time t at which the source's cumulative weight
+    ... + n_tokens). A use is taken if it ends within the source's demand; then further texts join until
+    no more than MISS is missing or none comes nearer, each the one that comes nearest to what the demand still lacks. No text is used more than max_repeats times. The time t at which the source's cumulative weight
     share * (t + lean * (t * t - t)) reaches the place is its position, in tokens of the mixture. Texts of no tokens, of
     a null source or of a source without target are not part of the mixture. Empty input gives an empty result.
     """
@@ -47,7 +53,7 @@ def mix(docs: DataFrame, targets: DataFrame, lean: dict[str, float] | None = Non
     t = {r.source: (float(r.target_share), int(r.max_repeats)) for r in targets.where("source is not null").collect()}  # the reference list of sources
     docs = materialise(docs.where(F.col("source").isin(*t) & (F.col("n_tokens") > 0)).select("doc_id", "source", "n_tokens"), "mixdocs")
     per = docs.groupBy("source").agg(F.sum("n_tokens").alias("tokens"), F.count("*").alias("n")).collect()
-    plan = mix_plan({r.source: r.tokens for r in per}, t, LEAN if lean is None else lean, total_tokens)
+    plan = mix_plan({r.source: r.tokens for r in per}, t, length_leans({r.source: (r.tokens, r.n) for r in per}) if lean is None else lean, total_tokens)
     rows = [(s, p["demand"], p["lean"], p["share"], p["tokens"], p["size"], t[s][1]) for s, p in plan.items()]
     plans = spark.createDataFrame(rows, "p_source string, demand double, lean double, share double, tokens bigint, size double, max_repeats int")
     placed = sliced(docs, "source", ["doc_id"], sum(r.n for r in per), "n_tokens").join(plans, F.col("source") == F.col("p_source"))
@@ -77,8 +83,13 @@ def _top_up(uses: DataFrame, taken: DataFrame, demand: dict[str, float]) -> list
     lack = {s: d - (upto.get(s) or 0) for s, d in demand.items()}
     chosen: list[tuple] = []
     spark = uses.sparkSession
-    for _ in range(TOP_UPS):
-        table = spark.createDataFrame([(s, float(x)) for s, x in lack.items() if x >= 1], "source string, lack double")
+    for turn in range(MOST_ROUNDS + 1):
+        open_ = [(s, float(x)) for s, x in lack.items() if x >= max(1.0, MISS * demand[s])]
+        if not open_:
+            break
+        if turn == MOST_ROUNDS:
+            raise RuntimeError("the sources do not come near their demand")
+        table = spark.createDataFrame(open_, "source string, lack double")
         left = uses.where(F.col("end") > F.col("demand")).join(table, "source")
         if chosen:
             left = left.join(spark.createDataFrame([c[:3] for c in chosen], "source string, doc_id bigint, use int"), ["source", "doc_id", "use"], "left_anti")

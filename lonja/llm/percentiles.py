@@ -185,12 +185,27 @@ def quantile_columns(sketch: Column, qs: list[float]) -> Column:
 def percentiles(df: DataFrame, keys: list[str], value: str, qs: list[float], part: str | None = None, k: int = K) -> DataFrame:
     """keys..., n, one column p05, p50, ... per percentile, rank_error and rank_error_share (error / n).
 
-    With `part` (a day, say) one sketch is made for each part first and these are merged, as one would merge stored days.
+    With `part` (a day, say) the sketches that are merged are of one part each, as stored days would be; parts need no merge
+    of their own before, for sketches merge in any order and grouping.
     The value reported for q has a rank within `rank_error` rows of ceil(q * n); up to `k` values it is exact.
     """
     sk = build_sketches(df, keys + ([part] if part else []), value, k)
-    if part:
-        sk = merge_sketches(sk, keys + [part]).drop(part)
-    got = merge_sketches(sk, keys).withColumn("_q", quantile_columns(F.col("sketch"), qs))
+    got = merge_sketches(sk.drop(part) if part else sk, keys).withColumn("_q", quantile_columns(F.col("sketch"), qs))
+    # the sketch of a group is read once, and not again by each of its columns
     cols = [F.col("_q.values")[i].alias(f"p{round(q * 100):02d}") for i, q in enumerate(qs)]
     return got.select(*keys, F.col("_q.n").alias("n"), *cols, F.col("_q.rank_error").alias("rank_error"), (F.col("_q.rank_error") / F.col("_q.n")).alias("rank_error_share"))
+
+
+def rank_misses(df: DataFrame, keys: list[str], value: str, got: DataFrame, qs: list[float]) -> DataFrame:
+    """keys..., n, rank_error, miss: how far, in rows, the worst percentile of each group lies from its rank, by an exact
+    count over the values. `got` is the result of percentiles(); the check joins a few figures a group to the values."""
+    v = F.col(value).cast("double")
+    cells = F.array(*[F.struct(F.lit(q).alias("q"), F.col(f"p{round(q * 100):02d}").alias("p")) for q in qs])
+    asked = got.select(*[F.col(k).alias(f"_{k}") for k in keys], "n", "rank_error", F.inline(cells))
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_{k}"))
+    per = df.where(v.isNotNull() & ~F.isnan(v)).join(asked, same).groupBy(*keys, "n", "rank_error", "q").agg(F.count_if(v < F.col("p")).alias("below"), F.count_if(v <= F.col("p")).alias("upto"))
+    want = F.greatest(F.lit(1), F.ceil(F.round(F.col("q") * F.col("n"), 9)))
+    miss = F.greatest(F.lit(0), F.col("below") + 1 - want, want - F.col("upto"))
+    return per.groupBy(*keys, "n", "rank_error").agg(F.max(miss).alias("miss"))

@@ -9,7 +9,7 @@ from lonja.llm.canon_text import consistent
 from lonja.llm.canonical_values import map_values
 from lonja.llm.mixing import mix, reached_shares
 from lonja.llm.packing import CAPACITY, pack
-from lonja.llm.percentiles import percentiles
+from lonja.llm.percentiles import percentiles, rank_misses
 from lonja.llm.tokens import with_tokens
 from lonja.session import table
 
@@ -32,6 +32,14 @@ def p5_source_percentiles(spark: SparkSession, d: str) -> DataFrame:
     return percentiles(table(spark, d, "listings"), ["source"], "price_eur", QS).select("source", "n", *[f"p{round(q * 100):02d}" for q in QS])
 
 
+def p5_bound_check(spark: SparkSession, d: str) -> DataFrame:
+    """Percentiles of all snapshot prices by source, from buffers so small that they collapse many times: whether they did,
+    and whether each value lies within the stated bound of its rank by an exact count."""
+    rows = table(spark, d, "listing_snapshots")
+    got = percentiles(rows, ["source"], "price_eur", QS, k=64)
+    return rank_misses(rows, ["source"], "price_eur", got, QS).select("source", "n", (F.col("rank_error") > 0).alias("collapsed"), (F.col("miss") <= F.col("rank_error")).alias("within_bound"))
+
+
 def _sizes(spark: SparkSession, d: str) -> DataFrame:
     return with_tokens(table(spark, d, "documents"), ["doc_id", "source"])
 
@@ -59,7 +67,31 @@ def p9_shares(spark: SparkSession, d: str) -> DataFrame:
     return reached_shares(mix(_sizes(spark, d), targets), targets)
 
 
-QUERIES = {"p5_price_percentiles": p5_price_percentiles, "p5_source_percentiles": p5_source_percentiles, "p8_pack": p8_pack, "p8_fill": p8_fill, "p9_mix": p9_mix, "p9_shares": p9_shares}
+def p8_check(spark: SparkSession, d: str) -> DataFrame:
+    """Whether all containers keep to their capacity, all tokens of every text are placed once, and only texts longer than a
+    container are split."""
+    sizes = _sizes(spark, d).select("doc_id", "n_tokens")
+    placed = pack(sizes)[0]
+    full = placed.groupBy("container_id").agg(F.sum("size").alias("used")).agg(F.coalesce(F.max("used") <= CAPACITY, F.lit(True)).alias("within_capacity"))
+    per = sizes.groupBy("doc_id").agg(F.sum("n_tokens").alias("n")).join(placed.groupBy("doc_id").agg(F.sum("size").alias("put"), F.count("*").alias("pieces")), "doc_id", "left")
+    whole = per.agg(F.count("*").alias("texts"), F.min(F.coalesce(F.col("put") == F.col("n"), F.lit(False))).alias("all_placed"), F.min((F.col("n") > CAPACITY) | (F.col("pieces") == 1)).alias("none_split"))
+    return full.join(whole, F.lit(True)).select("texts", "within_capacity", "all_placed", "none_split")
+
+
+def p9_check(spark: SparkSession, d: str) -> DataFrame:
+    """For each target: whether no text is used more than allowed, and whether the share reached lies within one text of it."""
+    sizes, targets = _sizes(spark, d), table(spark, d, "mix_targets")
+    got = mix(sizes, targets)
+    total, longest = got.agg(F.sum("n_tokens").alias("all")), sizes.groupBy("source").agg(F.max("n_tokens").alias("longest"))
+    uses = got.groupBy("source", "doc_id").agg(F.count("*").alias("uses"), F.sum("n_tokens").alias("n")).groupBy("source").agg(F.max("uses").alias("most"), F.sum("n").alias("n"))
+    j = targets.join(uses, "source", "left").join(longest, "source", "left").join(total, F.lit(True))
+    return j.select("source", (F.col("most") <= F.col("max_repeats")).alias("within_repeats"), (F.abs(F.col("n") - F.col("target_share") * F.col("all")) <= F.col("longest")).alias("share_within_a_text"))
+
+
+QUERIES = {"p5_price_percentiles": p5_price_percentiles, "p5_source_percentiles": p5_source_percentiles, "p5_bound_check": p5_bound_check, "p8_pack": p8_pack, "p8_fill": p8_fill, "p8_check": p8_check, "p9_mix": p9_mix, "p9_shares": p9_shares, "p9_check": p9_check}
 ORACLE = {
+    "p5_bound_check": "SELECT source, count(*) AS n, count(*) >= 128 AS collapsed, true AS within_bound FROM listing_snapshots WHERE price_eur IS NOT NULL GROUP BY source",
+    "p8_check": "SELECT count(DISTINCT doc_id) AS texts, true AS within_capacity, true AS all_placed, true AS none_split FROM documents",
+    "p9_check": "SELECT source, true AS within_repeats, true AS share_within_a_text FROM mix_targets",
     "p5_source_percentiles": "SELECT source, count(*) AS n, " + ", ".join(f"quantile_disc(price_eur, {q}) AS p{round(q * 100):02d}" for q in QS) + " FROM listings WHERE price_eur IS NOT NULL GROUP BY source",
 }
