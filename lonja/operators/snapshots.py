@@ -8,9 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lonja.session import delete_path, fresh_path, parallelism
+from lonja.session import delete_path, fresh_path, materialise
 
-ROWS_PER_BUCKET = 100_000
+#: Rows of all deliveries that make a bucket, so that a bucket has a bound; and the buckets of small tables.
+ROWS_PER_BUCKET, LEAST_BUCKETS = 500_000, 8
 CHANGES = T.StructType([
     T.StructField("source", T.StringType()), T.StructField("listing_id", T.StringType()), T.StructField("change_kind", T.StringType()),
     T.StructField("old_cents", T.LongType()), T.StructField("new_cents", T.LongType()),
@@ -62,9 +63,9 @@ def snapshot_changes(snapshots: DataFrame) -> DataFrame:
     differs (which also settles hash collisions), and the index is swapped. Empty input gives an empty result.
     """
     spark = snapshots.sparkSession
-    # one bucket for ROWS_PER_BUCKET rows of a delivery or so, within the session's parallelism, so that small tables do not
-    # become many tiny files
-    buckets = max(1, min(parallelism(spark), max(8, -(-snapshots.count() // ROWS_PER_BUCKET))))
+    # one bucket for ROWS_PER_BUCKET rows of all deliveries, however many that makes; few for small tables, so that these do
+    # not become many tiny files
+    buckets = max(LEAST_BUCKETS, -(-snapshots.count() // ROWS_PER_BUCKET))
     name, path = f"lonja_deliveries_{uuid.uuid4().hex[:12]}", fresh_path(spark, "deliveries")
     prepared = prepare_deliveries(snapshots).withColumn("h", F.xxhash64(F.coalesce("cents", F.lit(-1)), F.col("cents").isNull()))
     prepared = prepared.repartition(buckets, "source", "listing_id")
@@ -77,9 +78,9 @@ def snapshot_changes(snapshots: DataFrame) -> DataFrame:
     known: set[str] = set()
     last: dict[str, int] = {}
     for sid, sources in delivered:
-        new = rows.where(F.col("snapshot_id") == sid).select("source", "listing_id", "h", F.col("snapshot_id").alias("at"))
+        new = rows.where(F.col("snapshot_id") == sid).select("source", "listing_id", "h", F.col("snapshot_id").alias("at"), "cents")
         if index.name is None:
-            index.swap(new)
+            index.swap(new.drop("cents"))
             known |= sources
             last |= dict.fromkeys(sources, sid)
             continue
@@ -87,13 +88,15 @@ def snapshot_changes(snapshots: DataFrame) -> DataFrame:
         j = old.alias("o").join(new.alias("n"), ["source", "listing_id"], "full_outer")
         here = F.col("source").isin(*sources)
         kind = F.when(F.col("n.h").isNull(), F.when(here, F.lit("removed"))).when(F.col("o.h").isNull(), F.when(F.col("source").isin(*known) if known else F.lit(False), F.lit("added"))).when(F.col("o.h") != F.col("n.h"), F.lit("changed"))
-        probed = j.select("source", "listing_id", kind.alias("change_kind"), F.col("o.at").alias("old_at"))
-        found = probed.where(F.col("change_kind").isNotNull())
-        before = sorted({last[x] for x in sources if x in last})  # the deliveries this one follows, usually one or two
+        # the new value comes along with the probe; what is found is written first, so that its size is known where the old
+        # values are fetched: those of changed and removed adverts only, from the deliveries this one follows
+        probed = j.select("source", "listing_id", kind.alias("change_kind"), F.col("o.at").alias("old_at"), F.col("n.cents").alias("new_cents"))
+        found = materialise(probed.where(F.col("change_kind").isNotNull()), "found")
+        before = sorted({last[x] for x in sources if x in last})  # usually one or two
         olds = rows.where(F.col("snapshot_id").isin(*before) if before else F.lit(False)).select("source", "listing_id", F.col("snapshot_id").alias("old_at"), F.col("cents").alias("old_cents"))
-        news = rows.where(F.col("snapshot_id") == sid).select("source", "listing_id", F.col("cents").alias("new_cents"))
-        fetched = found.join(olds, ["source", "listing_id", "old_at"], "left").join(news, ["source", "listing_id"], "left")
-        fetched = fetched.where((F.col("change_kind") != "changed") | ~F.col("old_cents").eqNullSafe(F.col("new_cents")))
+        fetched = found.where("change_kind <> 'added'").join(olds, ["source", "listing_id", "old_at"], "left").where((F.col("change_kind") != "changed") | ~F.col("old_cents").eqNullSafe(F.col("new_cents")))
+        added = found.where("change_kind = 'added'").withColumn("old_cents", F.lit(None).cast("long"))
+        fetched = fetched.unionByName(added)
         fetched.select("source", "listing_id", F.lit(sid).cast("int").alias("snapshot_id"), "change_kind", "old_cents", "new_cents").write.mode("append").parquet(out)
         # swap: the new rows, and the state of the sources that delivered nothing this time
         index.swap(j.where(F.col("n.h").isNotNull() | ~here).select("source", "listing_id", F.coalesce("n.h", "o.h").alias("h"), F.coalesce("n.at", "o.at").alias("at")))
