@@ -79,6 +79,14 @@ class Reading:
     rest: list[str] = field(default_factory=list)
 
 
+_letters = functools.lru_cache(100_000)(frozenset)
+
+
+def may_lie_within(a: str, b: str, edits: int) -> bool:
+    """Whether two words may be so many edits apart: each edit changes at most one letter on each side."""
+    return abs(len(a) - len(b)) <= edits and len(_letters(a) ^ _letters(b)) <= 2 * edits
+
+
 def trim_likeness(word: str, trim: str) -> float:
     """1 for the trim itself; .95 for its start with a full stop; else 1 less the share of edits, 0 beyond two."""
     if word == trim:
@@ -88,8 +96,11 @@ def trim_likeness(word: str, trim: str) -> float:
     w = word.strip(".")
     if abs(len(w) - len(trim)) > 2 or len(w) < 4:
         return 0.0
+    most = 2 if len(trim) >= 7 else 1
+    if not may_lie_within(w, trim, most):
+        return 0.0
     d = osa(w, trim)
-    return 1 - d / len(trim) if d <= (2 if len(trim) >= 7 else 1) else 0.0
+    return 1 - d / len(trim) if d <= most else 0.0
 
 
 def classify(w: str, lex: Lexicon) -> tuple:
@@ -110,7 +121,7 @@ def classify(w: str, lex: Lexicon) -> tuple:
         out = ("gear", "manual")
     else:
         s, t = max(((trim_likeness(w, t), t) for t in lex.trims), default=(0.0, None))
-        near = [d for d in lex.drive if len(d) >= 4 and osa(w, d) == 1] if s < 0.7 and len(w) >= 5 else []
+        near = [d for d in lex.drive if len(d) >= 4 and may_lie_within(w, d, 1) and osa(w, d) == 1] if s < 0.7 and len(w) >= 5 else []
         out = ("trim", t, s) if s >= 0.7 else ("near", near[0]) if near else ("rest", w)
     if len(lex.seen) > 50_000:
         lex.seen.clear()
@@ -155,8 +166,9 @@ def model_likeness(rest: list[str], model: str) -> float:
                 best, where = 1.0, i
                 break
             if k == 0 and len(part) >= 4 and abs(len(w) - len(part)) <= 2:
-                d = osa(w, part)
-                s = 1 - d / len(part) if d <= (2 if len(part) >= 6 else 1) else 0.0
+                most = 2 if len(part) >= 6 else 1
+                d = osa(w, part) if may_lie_within(w, part, most) else most + 1
+                s = 1 - d / len(part) if d <= most else 0.0
                 if s > best:
                     best, where = s, i
         sims += [best] * (2 if k == 0 else 1)
