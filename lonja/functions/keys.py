@@ -82,9 +82,12 @@ def variant_key(text: Column) -> Column:
 
 def engine_key(text: Column, variant: Column, fuel: Column, cc: Column) -> Column:
     """Engine family, with the displacement in hundreds before it where it is known; `na` where neither is found."""
-    family = F.when(fuel == "electric", F.lit("electric"))
+    named = None
     for pattern, name in ENGINE_FAMILIES:
-        family = family.when(text.rlike(f"(?:^|_){pattern}(?:_|$)"), F.lit(name))
+        hit = text.rlike(f"(?:^|_){pattern}(?:_|$)")
+        named = F.when(hit, F.lit(name)) if named is None else named.when(hit, F.lit(name))
+    some = text.rlike("(?:^|_)(?:" + "|".join(p for p, _ in ENGINE_FAMILIES) + ")(?:_|$)")  # few texts name a family at all
+    family = F.when(fuel == "electric", F.lit("electric")).when(some, named)
     family = F.coalesce(family, F.nullif(variant, F.lit("na")))
     band = (F.bround(cc / 100.0) * 100).cast("int")
     return F.when(family.isNull(), F.lit("na")).when((F.coalesce(cc, F.lit(0)) != 0) & (fuel != "electric"), F.concat(band.cast("string"), F.lit(":"), family)).otherwise(family)

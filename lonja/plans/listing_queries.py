@@ -9,7 +9,7 @@ from lonja.functions import keys as K
 from lonja.functions.text import LATIN, MANY, PLAIN, normalize_text
 from lonja.operators import enrich, matching, rows
 from lonja.operators.filters import ListingFilter
-from lonja.session import table
+from lonja.session import spread, table
 
 UNIFIED = ListingFilter(min_price=5_000, max_price=30_000, min_year=2015, max_year=2023, max_km=120_000, fuels=("diesel", "gasoline"), transmissions=("manual",), country="DE", dealer_only=True)
 TOKENS = ListingFilter(model="monfesora 9", version="terranova")
@@ -19,6 +19,11 @@ def _l(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "listings")
 
 
+def _heavy(spark: SparkSession, d: str) -> DataFrame:
+    """Listings for queries that key every text."""
+    return spread(_l(spark, d))
+
+
 def listings_projection(spark, d):
     df = _l(spark, d)
     return df.select("row_id", "listing_id", "source", K.effective_year(df).alias("year"), F.col("first_registration.month").alias("month"), F.col("price_eur").alias("price_gross_eur"), "mileage_km", "country_code")
@@ -37,29 +42,29 @@ def filter_tokens(spark, d):
 
 
 def text_keys(spark, d):
-    return _l(spark, d).select("row_id", normalize_text(F.col("make")).alias("make_n"), normalize_text(F.col("title")).alias("title_n"), K.model_key(F.col("model")).alias("model_k"), K.fuel_category(F.col("fuel_type")).alias("fuel"), K.transmission_kind(F.col("transmission")).alias("tx"), K.body_category(F.col("body_type")).alias("body"), K.power_hp(F.col("power_hp"), F.col("power_kw")).alias("hp"))
+    return _heavy(spark, d).select("row_id", normalize_text(F.col("make")).alias("make_n"), normalize_text(F.col("title")).alias("title_n"), K.model_key(F.col("model")).alias("model_k"), K.fuel_category(F.col("fuel_type")).alias("fuel"), K.transmission_kind(F.col("transmission")).alias("tx"), K.body_category(F.col("body_type")).alias("body"), K.power_hp(F.col("power_hp"), F.col("power_kw")).alias("hp"))
 
 
 def engine_keys(spark, d):
-    return K.with_engine(_l(spark, d)).select("row_id", "variant", "engine")
+    return K.with_engine(_heavy(spark, d)).select("row_id", "variant", "engine")
 
 
 def vehicle_signature(spark, d):
-    df = K.with_engine(_l(spark, d))
+    df = K.with_engine(_heavy(spark, d))
     return df.select("row_id", K.vehicle_signature(df).alias("signature"), K.co2_memory_key(df).alias("memory_key"), K.market_key(F.col("make"), F.col("model"), F.col("fuel")).alias("market_key"))
 
 
 def dedupe_best(spark, d):
-    return rows.dedupe_listings(_l(spark, d)).select("row_id", "source", "listing_id")
+    return rows.dedupe_listings(_heavy(spark, d)).select("row_id", "source", "listing_id")
 
 
 def missing_fields(spark, d):
-    df = _l(spark, d)
+    df = _heavy(spark, d)
     return df.select("row_id", rows.missing_fields(df).alias("missing"))
 
 
 def _pairs(spark, d, deduped=False):
-    df = _l(spark, d)
+    df = _heavy(spark, d)
     pool = df.where("country_code = 'ES'")
     return matching.comparable_pairs(matching.keyed(df.where("country_code = 'DE'")), matching.keyed(rows.dedupe_listings(pool) if deduped else pool))
 
@@ -92,20 +97,20 @@ def market_reference_undeduped(spark, d):
 
 
 def search_envelope(spark, d):
-    return matching.search_envelope(matching.keyed(_l(spark, d).where("country_code = 'DE'")))
+    return matching.search_envelope(matching.keyed(_heavy(spark, d).where("country_code = 'DE'")))
 
 
 def co2_memory(spark, d):
-    return enrich.memory_mean(_l(spark, d))
+    return enrich.memory_mean(_heavy(spark, d))
 
 
 def co2_memory_fold(spark, d):
-    return enrich.memory_fold(_l(spark, d))
+    return enrich.memory_fold(_heavy(spark, d))
 
 
 def co2_enrich(spark, d):
     """Enriched from what a stepwise update leaves in the memory."""
-    df = _l(spark, d)
+    df = _heavy(spark, d)
     return enrich.enrich_co2(df, enrich.memory_fold(df))
 
 

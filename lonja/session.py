@@ -107,3 +107,10 @@ def parallelism(spark: SparkSession) -> int:
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """The frame in as many partitions as the session has cores, if its input comes in fewer splits: for expressions that cost
+    more than a shuffle of the columns they read. A large input has splits enough and stays as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
