@@ -101,12 +101,13 @@ def with_engine(df: DataFrame) -> DataFrame:
     return df.withColumn("engine", engine_key(F.col("text_n"), F.col("variant"), F.col("fuel"), F.col("engine_displacement_cc")))
 
 
-def transmission_kind(c: Column) -> Column:
+def transmission_kind(c: Column, source_says: Column | None = None) -> Column:
+    """The gearbox kind of a label; where it names none, that of what the source says beside it."""
     n = normalize_text(c)
     out = F.lit(None).cast("string")
     for kind, words in TRANSMISSIONS.items():
         out = F.when(n.isin(*words), F.lit(kind)).otherwise(out)
-    return out
+    return out if source_says is None else F.coalesce(out, transmission_kind(source_says))
 
 
 def power_hp(hp: Column, kw: Column) -> Column:

@@ -21,11 +21,12 @@ BAND = 5  # years; targets look into the bands within YEARS["broad"]
 def keyed(df: DataFrame, id_col: str = "row_id") -> DataFrame:
     """The columns matching needs, one row a listing: identity keys, engine, year, mileage, gearbox, battery, price."""
     battery = F.col("battery_capacity_kwh") if "battery_capacity_kwh" in df.columns else F.lit(None).cast("double")
+    beside = F.col("source_transmission") if "source_transmission" in df.columns else None
     k = with_engine(df)
     return k.select(
         F.col(id_col).alias("id"), "source", "listing_id", normalize_text(F.col("make")).alias("make_n"), model_key(F.col("model")).alias("model_k"), "fuel",
         F.col("engine_displacement_cc").alias("cc"), power_hp(F.col("power_hp"), F.col("power_kw")).alias("hp"), effective_year(df).alias("year"),
-        F.col("mileage_km").alias("km"), transmission_kind(F.col("transmission")).alias("tx"), battery.alias("kwh"), F.when(~F.isnan("price_eur"), F.col("price_eur")).alias("price"), "engine",
+        F.col("mileage_km").alias("km"), transmission_kind(F.col("transmission"), beside).alias("tx"), battery.alias("kwh"), F.when(~F.isnan("price_eur"), F.col("price_eur")).alias("price"), "engine",
     )
 
 

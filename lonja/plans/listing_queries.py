@@ -12,6 +12,7 @@ from lonja.operators.filters import ListingFilter
 from lonja.session import spread, table
 
 UNIFIED = ListingFilter(min_price=5_000, max_price=30_000, min_year=2015, max_year=2023, max_km=120_000, fuels=("diesel", "gasoline"), transmissions=("manual",), country="DE", dealer_only=True)
+BODIES = ListingFilter(bodies=("suv", "kombi", "familiar"), min_hp=80, max_hp=250, private_only=True)
 TOKENS = ListingFilter(model="monfesora 9", version="terranova")
 
 
@@ -37,6 +38,11 @@ def filter_unified(spark, d):
     return UNIFIED.apply(_l(spark, d)).select("row_id", "source", "price_eur", "mileage_km")
 
 
+def filter_bodies(spark, d):
+    """Bodies as normalised text, power and private sellers."""
+    return BODIES.apply(_l(spark, d)).select("row_id", "body_type", "power_hp")
+
+
 def filter_tokens(spark, d):
     return TOKENS.apply(_l(spark, d)).select("row_id", "source", "price_eur")
 
@@ -115,7 +121,7 @@ def co2_enrich(spark, d):
 
 
 QUERIES = {f.__name__: f for f in (
-    market_reference, listings_projection, export_flat, filter_unified, filter_tokens, text_keys, engine_keys, vehicle_signature, dedupe_best, missing_fields, match_pairs, match_checks,
+    market_reference, listings_projection, export_flat, filter_unified, filter_bodies, filter_tokens, text_keys, engine_keys, vehicle_signature, dedupe_best, missing_fields, match_pairs, match_checks,
     match_level_counts, market_reference_level_first, market_reference_undeduped, search_envelope, co2_memory, co2_memory_fold, co2_enrich,
 )}
 
@@ -223,6 +229,7 @@ ORACLE = {
     "export_flat": f"SELECT row_id, {_EXPORT}, first_registration.year AS first_registration_year, first_registration.month AS first_registration_month FROM listings",
     "filter_unified": f"""SELECT row_id, source, price_eur, mileage_km FROM (SELECT *, {N('fuel_type')} AS fn, {N('transmission')} AS tn FROM listings)
       WHERE price_eur BETWEEN 5000 AND 30000 AND first_registration.year BETWEEN 2015 AND 2023 AND mileage_km <= 120000 AND ({_fuel('fn')}) IN ('diesel', 'gasoline') AND tn IN ('manual', 'cambio_manual', 'schaltgetriebe') AND lower(country_code) = 'de' AND lower(seller_type) = 'dealer'""",
+    "filter_bodies": f"SELECT row_id, body_type, power_hp FROM listings WHERE {N('body_type')} IN ('suv', 'kombi', 'familiar') AND power_hp BETWEEN 80 AND 250 AND lower(seller_type) = 'private'",
     "filter_tokens": f"""SELECT row_id, source, price_eur FROM (SELECT *, '_' || {N('model')} || '_' AS m, '_' || {N('title')} || '_' AS t, '_' || {N('version')} || '_' AS v FROM listings)
       WHERE (contains(m, '_monfesora_9_') OR contains(t, '_monfesora_9_')) AND (contains(v, '_terranova_') OR contains(t, '_terranova_'))""",
     "text_keys": f"""SELECT row_id, make_n, title_n, {_model_key('model_n')} AS model_k, {_fuel('fuel_n')} AS fuel, {_tx('tx_n')} AS tx, {_BODY} AS body, hp

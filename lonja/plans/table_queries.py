@@ -2,11 +2,19 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lonja.operators import matching, profile, rows, timelines
 from lonja.plans import listing_queries as L
 from lonja.session import table
+from lonja.sources import files
+
+
+def snapshot_payloads(spark, d):
+    """Orders as rows of an immutable snapshot: key, hash of the payload, flags."""
+    o = table(spark, d, "orders")
+    return files.snapshot_rows(o, ["o_orderkey"], ["o_custkey"], {"finished": F.col("o_orderstatus") == "F", "urgent": F.col("o_orderpriority") == "1-URGENT"})
 
 
 def price_summary(spark, d):
@@ -86,7 +94,7 @@ def overlap_ids(spark, d):
 def ordered_distinct(spark, d):
     """Each source's makes in order of first scrape, without repeats."""
     l = table(spark, d, "listings").where("make is not null").groupBy("source", "make").agg(F.min("row_id").alias("first_row"))
-    return l.select("source", "make", "first_row")
+    return l.select("source", "make", F.row_number().over(Window.partitionBy("source").orderBy("first_row")).alias("place"))
 
 
 def offered_load_window(spark, d):
@@ -113,12 +121,13 @@ def event_hours(spark, d):
 
 
 QUERIES = {f.__name__: f for f in (
-    price_summary, comparison_summary, profile_counts, missing_profile, quartile_outliers, catalogue, catalogue_lookup, nearest_five, top_listings, dashboard_activity, calc_with_lead, latest_lead, gdpr_erase,
+    snapshot_payloads, price_summary, comparison_summary, profile_counts, missing_profile, quartile_outliers, catalogue, catalogue_lookup, nearest_five, top_listings, dashboard_activity, calc_with_lead, latest_lead, gdpr_erase,
     upsert_latest, unused_ids_anti, overlap_ids, ordered_distinct, offered_load_window, rate_limit_exact, advert_history, json_props, event_hours,
 )}
 
 _REF = L.ORACLE["market_reference"]
 ORACLE = {
+    "snapshot_payloads": """SELECT o_orderkey, '{"o_custkey":' || o_custkey || '}' AS payload, sha256('{"o_custkey":' || o_custkey || '}') AS payload_hash, o_orderstatus = 'F' AS finished, o_orderpriority = '1-URGENT' AS urgent FROM orders""",
     "price_summary": "SELECT source, count(*) AS listings, count(nullif(price_eur, 0)) AS priced, CAST(sum(CAST(round(nullif(price_eur, 0) * 100) AS bigint)) AS double) / 100.0 / nullif(count(nullif(price_eur, 0)), 0) AS average, min(nullif(price_eur, 0)) AS least, max(nullif(price_eur, 0)) AS greatest FROM listings GROUP BY source",
     "comparison_summary": f"SELECT count(*) AS targets, count(*) FILTER (level = 'exact') AS exact_targets, count(*) FILTER (level = 'near') AS near_targets, count(*) FILTER (level = 'broad') AS broad_targets, CAST(coalesce(sum(n), 0) AS bigint) AS comparables, max(n) AS largest_sample, CAST(sum(CAST(round(median * 100) AS bigint)) AS double) / 100.0 / nullif(count(median), 0) AS mean_median FROM ({_REF})",
     "profile_counts": "WITH c AS (" + " UNION ALL ".join(f"SELECT '{c}' AS field, coalesce(CAST({c} AS varchar), '(none)') AS value FROM listings" for c in ("source", "transmission", "body_type", "seller_type", "country_code", "vat_deductible")) + ") SELECT field, value, count(*) AS rows, round_even(CAST(count(*) * 100.0::double / sum(count(*)) OVER (PARTITION BY field) AS decimal(18, 10)), 2)::double AS percent FROM c GROUP BY field, value",
@@ -137,7 +146,7 @@ ORACLE = {
     "upsert_latest": "SELECT source, listing_id, scraped_at, row_id, price_eur FROM (SELECT source, lower(trim(listing_id)) AS listing_id, scraped_at, row_id, price_eur, row_number() OVER (PARTITION BY source, lower(trim(listing_id)) ORDER BY scraped_at DESC, row_id DESC) AS rn FROM listings) WHERE rn = 1",
     "unused_ids_anti": "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_custkey IS NOT NULL AND o_orderpriority = '1-URGENT')",
     "overlap_ids": "SELECT source, lower(trim(listing_id)) AS listing_id FROM listings INTERSECT SELECT source, lower(trim(listing_id)) FROM listing_snapshots",
-    "ordered_distinct": "SELECT source, make, min(row_id) AS first_row FROM listings WHERE make IS NOT NULL GROUP BY source, make",
+    "ordered_distinct": "SELECT source, make, row_number() OVER (PARTITION BY source ORDER BY min(row_id)) AS place FROM listings WHERE make IS NOT NULL GROUP BY source, make",
     "offered_load_window": "SELECT event_id, user_id, count(*) OVER (PARTITION BY user_id ORDER BY epoch_us(ts) RANGE BETWEEN 59999999 PRECEDING AND CURRENT ROW) AS load FROM events",
     "advert_history": """WITH a AS (SELECT snapshot_id, snapshot_date, source, lower(trim(listing_id)) AS listing_id, arg_max(coalesce(CAST(round(price_eur * 100) AS bigint), -1), (scraped_at, coalesce(CAST(round(price_eur * 100) AS bigint), -1))) AS c FROM listing_snapshots GROUP BY 1, 2, 3, 4),
       t AS (SELECT source, snapshot_id, row_number() OVER (PARTITION BY source ORDER BY snapshot_id) AS turn FROM (SELECT DISTINCT source, snapshot_id FROM a)),

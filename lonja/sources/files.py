@@ -7,10 +7,12 @@ import os
 import shutil
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, In, InputPartition
+
+from lonja.session import delete_path
 
 
 def read_csv(spark: SparkSession, path: str, floats: set[str], ints: set[str]) -> DataFrame:
@@ -34,7 +36,29 @@ def replace_version(df: DataFrame, path: str, version: list[str]) -> None:
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*version).parquet(path)
 
 
+def save_memory(memory: DataFrame, path: str, key: str = "key") -> bool:
+    """Writes a memory as JSON lines if it differs from what is there, and tells whether it did. The new one is written beside
+    the old one first, so a failure leaves a whole memory."""
+    spark = memory.sparkSession
+    old = load_memory(spark, path, memory.schema)
+    rows = lambda df: df.select(*[F.col(c).cast("string").alias(c) for c in memory.columns])
+    if not rows(memory).exceptAll(rows(old)).limit(1).count() and not rows(old).exceptAll(rows(memory)).limit(1).count():
+        return False
+    memory.write.mode("overwrite").json(f"{path}.next")
+    spark.read.schema(memory.schema).json(f"{path}.next").write.mode("overwrite").json(path)
+    delete_path(spark, f"{path}.next")
+    return True
+
+
+def snapshot_rows(df: DataFrame, key: list[str], payload: list[str], flags: dict[str, Column]) -> DataFrame:
+    """Rows of an immutable snapshot: the key, the payload as one JSON text, its hash, and flags (a condition that is null does
+    not hold)."""
+    text = F.to_json(F.struct(*payload))
+    return df.select(*key, text.alias("payload"), F.sha2(text, 256).alias("payload_hash"), *[F.coalesce(c, F.lit(False)).alias(n) for n, c in flags.items()])
+
+
 def append_snapshot(df: DataFrame, path: str) -> None:
+    """Adds rows; none that is there is ever changed."""
     df.write.mode("append").parquet(path)
 
 
@@ -81,24 +105,28 @@ class _Page(InputPartition):
 
 
 class _PagesReader(DataSourceReader):
-    """One partition a saved page. A filter on `source` is taken over: it prunes folders before anything is read."""
+    """One partition a saved page. Equality and membership of `source` and `page` are taken over: they prune folders and pages
+    before anything is read. The folder must be one that all machines see."""
 
     def __init__(self, options: dict):
-        self.root, self.most, self.only = options["path"], int(options.get("max_pages", 0)), None
+        self.root, self.most, self.only = options["path"], int(options.get("max_pages", 0)), {}
 
     def pushFilters(self, filters):
         for f in filters:
-            if isinstance(f, EqualTo) and f.attribute == ("source",):
-                self.only = f.value
+            if isinstance(f, EqualTo | In) and f.attribute in (("source",), ("page",)):
+                wanted = set(f.value) if isinstance(f, In) else {f.value}
+                have = self.only.get(f.attribute[0])
+                self.only[f.attribute[0]] = wanted if have is None else have & wanted
             else:
                 yield f
 
     def partitions(self):
+        asked = lambda column, name: column not in self.only or name in self.only[column]
         pages = []
         for source in sorted(os.listdir(self.root)):
-            if self.only is None or source == self.only:
+            if asked("source", source):
                 own = sorted(Path(self.root, source).glob("*.html"))
-                pages += own[: self.most] if self.most else own
+                pages += [p for p in (own[: self.most] if self.most else own) if asked("page", p.stem)]
         return [_Page(str(p)) for p in pages] or [_Page("")]
 
     def read(self, partition):

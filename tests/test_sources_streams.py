@@ -159,6 +159,15 @@ def test_files(spark, tmp_path):
         files.export_csv(df.limit(0), str(tmp_path), "none")
 
 
+def test_memory_is_saved_only_if_changed(spark, tmp_path):
+    m = spark.createDataFrame([("a", 1, 2.5), ("b", 2, None)], "key string, n int, mean double")
+    path = str(tmp_path / "memory")
+    assert files.save_memory(m, path) and not files.save_memory(m.orderBy(F.desc("key")), path)
+    assert files.save_memory(m.withColumn("n", F.col("n") + 1), path) and {r.n for r in files.load_memory(spark, path, m.schema).collect()} == {2, 3}
+    s = files.snapshot_rows(m, ["key"], ["n", "mean"], {"many": F.col("n") > 1, "high": F.col("mean") > 1}).orderBy("key").collect()
+    assert [(r.key, r.payload, r.many, r.high) for r in s] == [("a", '{"n":1,"mean":2.5}', False, True), ("b", '{"n":2}', True, False)] and len(s[0].payload_hash) == 64
+
+
 def test_saved_pages(spark, tmp_path):
     for s in ("a", "b"):
         (tmp_path / s).mkdir()
@@ -167,6 +176,7 @@ def test_saved_pages(spark, tmp_path):
     spark.dataSource.register(files.SavedPages)
     df = spark.read.format("saved_pages").option("max_pages", 2).load(str(tmp_path))
     assert sorted(r.html for r in df.collect()) == ["<p>a0</p>", "<p>a1</p>", "<p>b0</p>", "<p>b1</p>"] and df.where("source = 'b'").count() == 2
+    assert sorted(r.html for r in df.where("source in ('b', 'c') and page = '1'").collect()) == ["<p>b1</p>"] and df.where("source = 'a' and page = '2'").count() == 0
 
 
 def test_streams(spark, tmp_path):
