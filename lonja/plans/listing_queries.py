@@ -143,14 +143,15 @@ def _list(words) -> str:
     return "[" + ", ".join(f"'{w}'" for w in words) + "]"
 
 
+# literals of its own from here on, so that a wrong list of the engine shows
 def _fuel(n: str) -> str:
     tk = f"string_split({n}, '_')"
-    has = lambda words: f"list_has_any({tk}, {_list(words)})"
-    hyb = f"({has(['hybrid', 'hibrido'])} OR contains({n}, 'mild_hybrid'))"
-    T = K.FUEL_TOKENS
-    return f"""CASE WHEN {n} = 'na' THEN 'na' WHEN {has(T['phev'])} THEN 'phev' WHEN {has(T['lpg'])} THEN 'lpg' WHEN {has(T['cng'])} OR contains({n}, 'gas_natural') THEN 'cng'
-      WHEN {has(T['hydrogen'])} THEN 'hydrogen' WHEN {has(T['ethanol'])} OR contains({n}, 'flex_fuel') THEN 'ethanol' WHEN {hyb} AND ({has(K.PLUG_TOKENS)} OR contains({n}, 'plug_in')) THEN 'phev' WHEN {hyb} THEN 'hybrid'
-      WHEN {n} = 'di_esel' OR contains({n}, 'diesel') THEN 'diesel' WHEN {has(K.GASOLINE_TOKENS)} THEN 'gasoline' WHEN {has(K.ELECTRIC_TOKENS)} THEN 'electric' ELSE 'other' END"""
+    has = lambda words: f"list_has_any({tk}, [{words}])"
+    hyb = f"({has("'hybrid', 'hibrido'")} OR contains({n}, 'mild_hybrid'))"
+    plug = f"({has("'enchufable', 'plugin', 'plug'")} OR contains({n}, 'plug_in'))"
+    return f"""CASE WHEN {n} = 'na' THEN 'na' WHEN {has("'phev'")} THEN 'phev' WHEN {has("'lpg', 'glp', 'autogas', 'flussiggas'")} THEN 'lpg' WHEN {has("'cng', 'gnc', 'erdgas', 'methan', 'metano'")} OR contains({n}, 'gas_natural') THEN 'cng'
+      WHEN {has("'hydrogen', 'hydrogenium', 'hidrogeno', 'wasserstoff'")} THEN 'hydrogen' WHEN {has("'ethanol', 'etanol', 'flexifuel'")} OR contains({n}, 'flex_fuel') THEN 'ethanol' WHEN {hyb} AND {plug} THEN 'phev' WHEN {hyb} THEN 'hybrid'
+      WHEN {n} = 'di_esel' OR contains({n}, 'diesel') THEN 'diesel' WHEN {has("'gasolina', 'gasoline', 'benzin', 'petrol'")} THEN 'gasoline' WHEN {has("'electrico', 'elektrisch', 'electric', 'electricity', 'strom'")} THEN 'electric' ELSE 'other' END"""
 
 
 def _model_key(n: str) -> str:
@@ -167,11 +168,14 @@ def _variant(tk: str) -> str:
 
 
 def _tx(n: str) -> str:
-    return "CASE " + " ".join(f"WHEN {n} IN ({', '.join(repr(w) for w in ws)}) THEN '{k}'" for k, ws in K.TRANSMISSIONS.items()) + " END"
+    return f"CASE WHEN {n} IN ('automatic', 'automatico', 'automatik') THEN 'automatic' WHEN {n} IN ('manual', 'cambio_manual', 'schaltgetriebe') THEN 'manual' WHEN {n} IN ('semi_automatic', 'semiautomatico') THEN 'semi_automatic' END"
+
+
+_FAMILIES = ["pure_?tech", "blue_?hdi", "e_?tsi", "e_?hybrid", "tfsi", "tsi", "thp", "hdi", "tce", "dci", "cdi", "crdi", "cdti", "multijet", "jtd", "ecoboost", "skyactiv", "d_?4d"]
 
 
 def _engine() -> str:
-    fam = "CASE WHEN fuel = 'electric' THEN 'electric' " + " ".join(f"WHEN regexp_matches(text, '(?:^|_){p}(?:_|$)') THEN '{v}'" for p, v in K.ENGINE_FAMILIES) + " ELSE nullif(variant, 'na') END"
+    fam = "CASE WHEN fuel = 'electric' THEN 'electric' " + " ".join(f"WHEN regexp_matches(text, '(?:^|_){p}(?:_|$)') THEN '{p.replace('_?', '')}'" for p in _FAMILIES) + " ELSE nullif(variant, 'na') END"
     return f"CASE WHEN ({fam}) IS NULL THEN 'na' WHEN coalesce(cc, 0) <> 0 AND fuel <> 'electric' THEN CAST(CAST(round_even(cc / 100.0, 0) AS int) * 100 AS varchar) || ':' || ({fam}) ELSE ({fam}) END"
 
 
@@ -218,7 +222,11 @@ FROM s"""
 
 
 _BODY_N = "trim(regexp_replace(regexp_replace(lower(trim(translate(coalesce(body_type, ''), '{a}', '{b}'))), '[-/]', ' ', 'g'), '\\s+', ' ', 'g'))".format(a=LATIN.replace("'", "''"), b=PLAIN.replace("'", "''"))
-_BODY = "CASE " + " ".join("WHEN list_has_any(string_split(body_n, ' '), " + _list(p for p in ps if " " not in p) + ") " + " ".join(f"OR contains(body_n, '{p}')" for p in ps if " " in p) + f" THEN '{k}'" for k, ps in K.BODY_WORDS.items()) + " END"
+_BODY = """CASE WHEN list_has_any(string_split(body_n, ' '), ['suv', 'offroad', 'todoterreno', 'gelandewagen']) THEN 'suv'
+  WHEN list_has_any(string_split(body_n, ' '), ['monovolumen', 'minivan', 'van']) OR contains(body_n, 'multi purpose') THEN 'monovolumen'
+  WHEN list_has_any(string_split(body_n, ' '), ['deportivo', 'sportscar', 'sportwagen', 'coupe', 'cabrio', 'roadster']) OR contains(body_n, 'sports car') THEN 'deportivo_gama_alta'
+  WHEN list_has_any(string_split(body_n, ' '), ['familiar', 'estate', 'estatecar', 'kombi']) OR contains(body_n, 'station wagon') THEN 'familiar'
+  WHEN list_has_any(string_split(body_n, ' '), ['turismo', 'berlina', 'sedan', 'saloon', 'limousine', 'hatchback', 'compact', 'smallcar']) OR contains(body_n, 'small car') THEN 'turismo' END"""
 _MEM = f"CASE WHEN first_registration.year IS NOT NULL AND coalesce(make, '') <> '' AND coalesce(model, '') <> '' AND coalesce(version, '') <> '' THEN {N('make')} || '|' || {N('model')} || '|' || {N('version')} || '|' || first_registration.year END"
 _MEMORY = f"mem AS (SELECT key, count(*) AS samples, min(co2_emissions_g_km) AS co2_min, max(co2_emissions_g_km) AS co2_max, CAST(sum(co2_emissions_g_km) AS double) / count(*) AS co2_avg FROM (SELECT *, {_MEM} AS key FROM listings) WHERE key IS NOT NULL AND co2_emissions_g_km IS NOT NULL AND source NOT IN ('manual', 'user', 'public') GROUP BY key)"
 _FOLD = f"mem AS (SELECT key, count(*) AS samples, min(co2_emissions_g_km) AS co2_min, max(co2_emissions_g_km) AS co2_max, list_reduce(list(co2_emissions_g_km::double ORDER BY row_id), lambda a, x, i: round_even((a * (i - 1) + x) / i, 2)) AS co2_avg FROM (SELECT *, {_MEM} AS key FROM listings) WHERE key IS NOT NULL AND co2_emissions_g_km IS NOT NULL AND source NOT IN ('manual', 'user', 'public') GROUP BY key)"

@@ -148,6 +148,11 @@ ORACLE = {
     "overlap_ids": "SELECT source, lower(trim(listing_id)) AS listing_id FROM listings INTERSECT SELECT source, lower(trim(listing_id)) FROM listing_snapshots",
     "ordered_distinct": "SELECT source, make, row_number() OVER (PARTITION BY source ORDER BY min(row_id)) AS place FROM listings WHERE make IS NOT NULL GROUP BY source, make",
     "offered_load_window": "SELECT event_id, user_id, count(*) OVER (PARTITION BY user_id ORDER BY epoch_us(ts) RANGE BETWEEN 59999999 PRECEDING AND CURRENT ROW) AS load FROM events",
+    "rate_limit_exact": """WITH RECURSIVE e AS (SELECT event_id, user_id, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events),
+      r AS (SELECT event_id, user_id, ts, i, true AS accepted, [epoch_us(ts)] AS kept FROM e WHERE i = 1 UNION ALL
+      SELECT event_id, user_id, ts, i, len(live) < 3, CASE WHEN len(live) < 3 THEN list_append(live, epoch_us(ts)) ELSE live END
+      FROM (SELECT e.*, list_filter(r.kept, lambda x: x > epoch_us(e.ts) - 3600000000) AS live FROM r JOIN e ON e.user_id IS NOT DISTINCT FROM r.user_id AND e.i = r.i + 1))
+      SELECT event_id, user_id, ts, accepted FROM r""",
     "advert_history": """WITH a AS (SELECT snapshot_id, snapshot_date, source, lower(trim(listing_id)) AS listing_id, arg_max(coalesce(CAST(round(price_eur * 100) AS bigint), -1), (scraped_at, coalesce(CAST(round(price_eur * 100) AS bigint), -1))) AS c FROM listing_snapshots GROUP BY 1, 2, 3, 4),
       t AS (SELECT source, snapshot_id, row_number() OVER (PARTITION BY source ORDER BY snapshot_id) AS turn FROM (SELECT DISTINCT source, snapshot_id FROM a)),
       s AS (SELECT *, lag(turn) OVER w AS before, lag(c) OVER w AS old FROM a JOIN t USING (source, snapshot_id) WINDOW w AS (PARTITION BY source, listing_id ORDER BY snapshot_id))
