@@ -38,10 +38,6 @@ def _lits(words: list[str]) -> Column:
     return F.array(*map(F.lit, words))
 
 
-def word_array(text: Column) -> Column:
-    return F.filter(F.split(text, "_"), lambda x: (x != "") & (x != "na"))
-
-
 def fuel_category(c: Column) -> Column:
     """One fuel category of a free label; `na` where there is none, `other` where no word decides."""
     n = normalize_text(c)
