@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from lonja.llm.encoder import Encoder, kmeans, tune_probes
 from lonja.llm.listing_attributes import deletions
-from lonja.llm.official_match import exclusive, match_official
+from lonja.llm.official_match import exclusive, fit_mixture, match_official, posteriors
 from lonja.llm.product_groups import compatible, components, product_groups, product_links, product_pairs
 from lonja.llm.subjects import document_subjects, sentences
 from lonja.llm.vehicle_text import Lexicon, fold, model_likeness, read
@@ -80,6 +80,20 @@ def test_match_official(spark):
     assert match_official(v.limit(0), official, canon).count() == 0
 
 
+def test_the_mixture_decides_where_the_sum_of_likenesses_errs(spark):
+    """Displacement varies alike in matched and unmatched pairs, power does not: without labels the mixture learns to weigh power."""
+    rng, clip = np.random.default_rng(2), lambda v: [float(min(1.0, max(0.0, x))) for x in v]
+    match = lambda: clip([rng.normal(0.97, 0.02), rng.normal(0.97, 0.02), rng.normal(0.97, 0.02), rng.uniform(0.3, 1.0), rng.normal(0.97, 0.01), 1.0])
+    other = lambda: clip([rng.normal(0.9, 0.05), rng.normal(0.85, 0.1), rng.normal(0.8, 0.1), rng.uniform(0.3, 1.0), rng.normal(0.75, 0.05), 1.0])
+    rows = [(v, [{"boe_id": 10 * v, "x": match()}] + [{"boe_id": 10 * v + i, "x": other()} for i in range(1, 4)]) for v in range(300)]
+    a, b = [0.96, 0.96, 0.96, 0.35, 0.97, 1.0], [0.93, 0.95, 0.92, 1.0, 0.80, 1.0]
+    rows.append((999, [{"boe_id": 1, "x": a}, {"boe_id": 2, "x": b}]))
+    cands = spark.createDataFrame(rows, "vk long, cands array<struct<boe_id:long,x:array<double>>>")
+    post = {(r.vk, r.boe_id): r.posterior for r in posteriors(cands, fit_mixture(cands)).collect()}
+    assert sum(a) < sum(b) and post[999, 1] > 0.9 > post[999, 2]
+    assert np.mean([post[v, 10 * v] > 0.5 for v in range(300)]) > 0.95
+
+
 def test_encoder_learns_and_index_recalls():
     r = random.Random(1)
     prods = [f"model{i % 20} drive{i % 3} trim{i % 5} pack{i}x" for i in range(150)]
