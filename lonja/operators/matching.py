@@ -18,6 +18,15 @@ RANK = {"exact": 1, "near": 2, "broad": 3}
 BAND = 5  # years; targets look into the bands within YEARS["broad"]
 
 
+#: What dedupe and keyed() read of a listing; a pool is cut down to these before its rows are carried through a shuffle.
+COLUMNS = ["row_id", "source", "listing_id", "title", "make", "model", "version", "price_eur", "mileage_km", "first_registration", "production_year", "fuel_type", "transmission", "source_transmission", "power_hp", "power_kw", "engine_displacement_cc", "battery_capacity_kwh", "seller_dealer_id"]
+
+
+def narrow(df: DataFrame) -> DataFrame:
+    """The columns of COLUMNS that the frame has."""
+    return df.select(*[c for c in COLUMNS if c in df.columns])
+
+
 def keyed(df: DataFrame, id_col: str = "row_id") -> DataFrame:
     """The columns matching needs, one row a listing: identity keys, engine, year, mileage, gearbox, battery, price."""
     battery = F.col("battery_capacity_kwh") if "battery_capacity_kwh" in df.columns else F.lit(None).cast("double")

@@ -72,7 +72,7 @@ def missing_fields(spark, d):
 def _pairs(spark, d, deduped=False):
     df = _heavy(spark, d)
     pool = df.where("country_code = 'ES'")
-    return matching.comparable_pairs(matching.keyed(df.where("country_code = 'DE'")), matching.keyed(rows.dedupe_listings(pool) if deduped else pool))
+    return matching.comparable_pairs(matching.keyed(df.where("country_code = 'DE'")), matching.keyed(rows.dedupe_listings(matching.narrow(pool)) if deduped else pool))
 
 
 def match_pairs(spark, d):
