@@ -26,9 +26,10 @@ GRAM_WEIGHT = {"1": 1.0, "2": 0.5, "3": 0.3, "s": 0.7, "o": 1.0, "t": 1.0}
 #: Longest run of words of a value that is looked up on its own, in lists whose values are described in several words.
 MOST_WORDS = 3
 
-# The words by which the listings' fuel categories are told (lonja.functions.keys), and beside them one plain
-# word a language: the head words and synonyms of the public encyclopedia's articles on each fuel or drive in English, German,
-# Spanish, French, Italian, Polish and Swedish; the pump labels of EN 16942; the usual abbreviations of drives. No phrases.
+# The words by which the listings' fuel categories are told (lonja.functions.keys), and beside them dictionary
+# words and names of several words for each fuel or drive in English, German, Spanish, French, Italian, Polish and Swedish, the
+# pump labels of EN 16942 and the usual abbreviations of drives. Written from memory, without a source at hand, by someone who
+# had seen the values of the test tables.
 FUEL_WORDS = {
     "gasoline": [*GASOLINE_TOKENS, "bencina", "nafta", "essence", "benzina", "benzyna", "bensin", "Ottomotor", "Ottokraftstoff", "E5", "E10"],
     "diesel": ["diesel", "gasóleo", "gasoil", "gazole", "gasolio", "olej napędowy", "Dieselkraftstoff", "B7", "B10"],
