@@ -43,6 +43,39 @@ def _delta(c: str) -> Column:
     return F.abs(F.col(f"t.{c}") - F.col(f"c.{c}"))
 
 
+def _clash() -> Column:
+    return (F.col("t.engine") != "na") & (F.col("c.engine") != "na") & (F.col("t.engine") != F.col("c.engine"))
+
+
+def _hp_limit() -> Column:
+    return F.greatest(F.lit(HP["limit"]), F.floor(F.coalesce(F.col("t.hp"), F.lit(0)) * HP["share"]))
+
+
+def _within() -> Column:
+    """Whether t and c, which share make, model family and fuel, match at some level; null where a year or mileage is."""
+    beyond = (F.coalesce(_delta("cc"), F.lit(0)) > CC["limit"]) | (F.coalesce(_delta("hp"), F.lit(0)) > _hp_limit())
+    return (_delta("year") <= YEARS["broad"]) & (_delta("km") <= KM["broad"]) & ~_clash() & ~beyond
+
+
+def _same_engine() -> Column:
+    return (F.col("t.engine") != "na") & (F.col("t.engine") == F.col("c.engine"))
+
+
+def _same_tx() -> Column:
+    return F.coalesce(F.col("t.tx") == F.col("c.tx"), F.lit(False))
+
+
+def _level() -> Column:
+    """The level of a pair that is _within()."""
+    dy, dkm = _delta("year"), _delta("km")
+    motor = lambda lv: _same_engine() & ((F.col("t.fuel") == "electric") | F.coalesce(_delta("cc") <= CC[lv], F.lit(False))) & F.coalesce(_delta("hp") <= HP[lv], F.lit(False))
+    battery = ~F.col("t.fuel").isin("electric", "phev") | F.coalesce(_delta("kwh") <= BATTERY_KWH, F.lit(False))
+    return (
+        F.when(motor("exact") & (dy <= YEARS["exact"]) & (dkm <= KM["exact"]) & _same_tx() & battery, F.lit("exact"))
+        .when(motor("near") & (dy <= YEARS["near"]) & (dkm <= KM["near"]) & battery, F.lit("near")).otherwise(F.lit("broad"))
+    )
+
+
 def comparable_pairs(targets: DataFrame, candidates: DataFrame) -> DataFrame:
     """target_id, candidate_id, level and the candidate's figures, for every pair of some level.
 
@@ -55,24 +88,11 @@ def comparable_pairs(targets: DataFrame, candidates: DataFrame) -> DataFrame:
     bands = F.sequence(F.floor((F.col("year") - reach) / BAND), F.floor((F.col("year") + reach) / BAND))
     t = known(targets).withColumn("band", F.explode(bands)).alias("t")
     c = known(candidates).withColumn("band", F.floor(F.col("year") / BAND)).alias("c")
-    keys = [F.col(f"t.{k}") == F.col(f"c.{k}") for k in ("make_n", "model_k", "fuel", "band")]
-    dy, dkm, dcc, dhp = _delta("year"), _delta("km"), _delta("cc"), _delta("hp")
-    clash = (F.col("t.engine") != "na") & (F.col("c.engine") != "na") & (F.col("t.engine") != F.col("c.engine"))
-    beyond = (F.coalesce(dcc, F.lit(0)) > CC["limit"]) | (F.coalesce(dhp, F.lit(0)) > F.greatest(F.lit(HP["limit"]), F.floor(F.coalesce(F.col("t.hp"), F.lit(0)) * HP["share"])))
-    cond = (dy <= reach) & (dkm <= KM["broad"]) & ~clash & ~beyond
-    for k in keys:
-        cond = cond & k
-    same = (F.col("t.engine") != "na") & (F.col("t.engine") == F.col("c.engine"))
-    electric = F.col("t.fuel") == "electric"
-    motor = lambda lv: same & (electric | F.coalesce(dcc <= CC[lv], F.lit(False))) & F.coalesce(dhp <= HP[lv], F.lit(False))
-    same_tx = F.coalesce(F.col("t.tx") == F.col("c.tx"), F.lit(False))
-    battery = ~F.col("t.fuel").isin("electric", "phev") | F.coalesce(_delta("kwh") <= BATTERY_KWH, F.lit(False))
-    level = (
-        F.when(motor("exact") & (dy <= YEARS["exact"]) & (dkm <= KM["exact"]) & same_tx & battery, F.lit("exact"))
-        .when(motor("near") & (dy <= YEARS["near"]) & (dkm <= KM["near"]) & battery, F.lit("near")).otherwise(F.lit("broad"))
-    )
-    engine_check = F.when((level == "exact") | (level == "near"), F.lit("match")).when(same, F.lit("relaxed")).otherwise(F.lit("unavailable"))
-    tx_check = F.when(F.col("t.tx").isNull() | F.col("c.tx").isNull(), F.lit("unavailable")).when(same_tx, F.lit("match")).otherwise(F.when(level == "exact", F.lit("mismatch")).otherwise(F.lit("relaxed")))
+    cond, level = _within(), _level()
+    for k in ("make_n", "model_k", "fuel", "band"):
+        cond = cond & (F.col(f"t.{k}") == F.col(f"c.{k}"))
+    engine_check = F.when((level == "exact") | (level == "near"), F.lit("match")).when(_same_engine(), F.lit("relaxed")).otherwise(F.lit("unavailable"))
+    tx_check = F.when(F.col("t.tx").isNull() | F.col("c.tx").isNull(), F.lit("unavailable")).when(_same_tx(), F.lit("match")).otherwise(F.when(level == "exact", F.lit("mismatch")).otherwise(F.lit("relaxed")))
     battery_check = F.when(~F.col("t.fuel").isin("electric", "phev") | _delta("kwh").isNull(), F.lit("unavailable")).when(_delta("kwh") <= BATTERY_KWH, F.lit("match")).otherwise(F.when(level == "broad", F.lit("relaxed")).otherwise(F.lit("mismatch")))
     checks = F.create_map(
         *[x for k in ("make", "model", "fuel") for x in (F.lit(k), F.lit("match"))], F.lit("version"), engine_check,
@@ -80,23 +100,52 @@ def comparable_pairs(targets: DataFrame, candidates: DataFrame) -> DataFrame:
     )
     return t.join(c, cond).select(
         F.col("t.id").alias("target_id"), F.col("c.id").alias("candidate_id"), level.alias("level"), F.col("c.price").alias("price"), F.col("c.source").alias("candidate_source"),
-        same_tx.alias("same_tx"), dy.alias("year_delta"), dkm.alias("km_delta"), battery_check.isin("relaxed", "unavailable").alias("battery_open"), checks.alias("checks"),
+        _same_tx().alias("same_tx"), _delta("year").alias("year_delta"), _delta("km").alias("km_delta"), battery_check.isin("relaxed", "unavailable").alias("battery_open"), checks.alias("checks"),
     )
 
 
 def pair_decisions(targets: DataFrame, candidates: DataFrame) -> DataFrame:
-    """target_id, candidate_id, level, reason of every pair of one make, model family and fuel whose years are known: the
-    level of those that match, and of the others the first thing that keeps them apart. For audits; the pairs of a hot
-    model are as many as its candidates a target, so targets should be few."""
-    t, c = targets.where("make_n <> 'na' and model_k <> 'na' and fuel <> 'na'").alias("t"), candidates.alias("c")
-    j = t.join(c, (F.col("t.make_n") == F.col("c.make_n")) & (F.col("t.model_k") == F.col("c.model_k")) & (F.col("t.fuel") == F.col("c.fuel")))
+    """target_id, candidate_id, level, reason of every pair of one make, model family and fuel: the level of those that
+    match, and of the others the first thing that keeps them apart. For audits; the pairs of a hot model are as many as its
+    candidates a target, so targets should be few.
+
+    Both are settled where the pair is made, so the listings are shuffled and not their pairs. Repeated ids are the
+    exception: a pair of two ids takes the level of every match of these ids, for which their pairs are joined."""
+    t, c = targets.where("make_n <> 'na' and model_k <> 'na' and fuel <> 'na'"), candidates
+    twice_t, twice_c = _repeated(targets), _repeated(candidates)
+    if twice_t is None and twice_c is None:
+        return _decided(t, c).drop("apart")
+    out = _decided(_among(t, twice_t, False), _among(c, twice_c, False)).drop("apart")
+    for x, y in ((_among(t, twice_t, True), c), (_among(t, twice_t, False), _among(c, twice_c, True))):
+        own = _decided(x, y)
+        met = own.where("level is not null").select(F.col("target_id").alias("m_t"), F.col("candidate_id").alias("m_c"), F.col("level").alias("met"))
+        j = own.join(met, (F.col("target_id") == F.col("m_t")) & (F.col("candidate_id") == F.col("m_c")), "left")
+        out = out.unionByName(j.select("target_id", "candidate_id", F.col("met").alias("level"), F.when(F.col("met").isNull(), F.col("apart")).alias("reason")))
+    return out
+
+
+def _repeated(df: DataFrame) -> DataFrame | None:
+    """The ids that occur more than once; none if there are no such ids."""
+    ids = df.where("id is not null").groupBy("id").count().where("count > 1").select("id")
+    return None if ids.isEmpty() else ids
+
+
+def _among(df: DataFrame, ids: DataFrame | None, those: bool) -> DataFrame:
+    """The rows whose id is one of `ids`, or the others."""
+    if ids is None:
+        return df.limit(0) if those else df
+    return df.join(ids, "id", "left_semi" if those else "left_anti")
+
+
+def _decided(t: DataFrame, c: DataFrame) -> DataFrame:
+    """target_id, candidate_id, level, reason, and apart, the reason whether the pair matches or not, from one join."""
+    t, c = t.alias("t"), c.alias("c")
     far = lambda v, most: F.coalesce(v > most, F.lit(True))
-    clash = (F.col("t.engine") != "na") & (F.col("c.engine") != "na") & (F.col("t.engine") != F.col("c.engine"))
-    hp_limit = F.greatest(F.lit(HP["limit"]), F.floor(F.coalesce(F.col("t.hp"), F.lit(0)) * HP["share"]))
-    reason = F.when(far(_delta("year"), YEARS["broad"]), "year").when(far(_delta("km"), KM["broad"]), "mileage").when(clash, "engine").when(_delta("cc") > CC["limit"], "displacement").when(_delta("hp") > hp_limit, "power")
-    met = comparable_pairs(targets, candidates).select(F.col("target_id").alias("m_t"), F.col("candidate_id").alias("m_c"), "level")
-    ids = j.select(F.col("t.id").alias("target_id"), F.col("c.id").alias("candidate_id"), reason.alias("reason"))
-    return ids.join(met, (F.col("target_id") == F.col("m_t")) & (F.col("candidate_id") == F.col("m_c")), "left").select("target_id", "candidate_id", "level", F.when(F.col("level").isNull(), F.col("reason")).alias("reason"))
+    apart = F.when(far(_delta("year"), YEARS["broad"]), "year").when(far(_delta("km"), KM["broad"]), "mileage").when(_clash(), "engine").when(_delta("cc") > CC["limit"], "displacement").when(_delta("hp") > _hp_limit(), "power")
+    j = t.join(c, (F.col("t.make_n") == F.col("c.make_n")) & (F.col("t.model_k") == F.col("c.model_k")) & (F.col("t.fuel") == F.col("c.fuel")))
+    named = F.col("t.id").isNotNull() & F.col("c.id").isNotNull()  # a match is known by its ids
+    j = j.select(F.col("t.id").alias("target_id"), F.col("c.id").alias("candidate_id"), F.when(named & _within(), _level()).alias("level"), apart.alias("apart"))
+    return j.select("target_id", "candidate_id", "level", F.when(F.col("level").isNull(), F.col("apart")).alias("reason"), "apart")
 
 
 def level_counts(pairs: DataFrame, priced_only: bool = True) -> DataFrame:

@@ -91,3 +91,15 @@ def test_profiles(spark):
     names = spark.createDataFrame([(1, "Golf"), (2, "Polo"), (3, "Golf Plus")], "id int, name string")
     w = spark.createDataFrame([("golf ",), ("Golf Pl",), ("zzz",), (None,), ("",)], "wanted string")
     assert {(r.wanted, r.id, r.how) for r in profile.catalogue_lookup(w, names).collect()} == {("golf ", 1, "equal"), ("Golf Pl", 1, "part")}
+
+
+def test_decisions_take_one_join_and_repeated_ids_every_match(spark):
+    t, c = frame(spark, {}), frame(spark, {}, {"mileage_km": 300_000}, {"first_registration": None})
+    once = matching.pair_decisions(matching.keyed(t), matching.keyed(c))
+    plan = once._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join") == 1  # pairs are not joined with pairs
+    assert {(r.candidate_id, r.level, r.reason) for r in once.collect()} == {(1, "exact", None), (2, None, "mileage"), (3, None, "year")}
+    c = frame(spark, {"row_id": 5}, {"row_id": 5, "mileage_km": 90_000}, {"row_id": 6, "mileage_km": 300_000}, {"row_id": 5, "mileage_km": 300_000}, {"row_id": None})
+    got = sorted((r.candidate_id or 0, r.level or "", r.reason or "") for r in matching.pair_decisions(matching.keyed(t), matching.keyed(c)).collect())
+    # each of the three pairs of ids 1 and 5 takes the level of both matches, as in the SQL; no id, no match
+    assert got == sorted([(5, "exact", "")] * 3 + [(5, "near", "")] * 3 + [(6, "", "mileage"), (0, "", "")])
