@@ -13,7 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -25,8 +25,8 @@ SHARE, MIN_LABELS = 0.2, 40
 GRID = (0.16, 0.17, 0.18, 0.19, 0.2, 0.21, 0.22)
 #: The least sum of term weights over the square root of its length that a sentence must have; `calibrate` chooses.
 VOTES, VOTE = (0.08, 0.15, 0.25, 0.4), 0.15
-#: Labelled texts the term weights are fitted on, about at most; more are sampled by a hash of their id.
-MAX_LABELLED = 10_000
+#: Counts of terms that a task of the fit holds before it hands them on.
+HELD = 500_000
 #: Terms that are broadcast, at most.
 MOST_TERMS = 200_000
 #: Longest term in words, least support, least share of its texts with the label, least log-likelihood gain.
@@ -91,11 +91,8 @@ def ngrams(words: list[str]) -> set[str]:
 
 
 def labelled_ids(labels: DataFrame) -> DataFrame:
-    """doc_id, subjects of the labelled texts, about MAX_LABELLED of them if there are more, by a hash of the id. Written, so
-    that its size is known where texts and hits are joined with it and need no shuffle."""
-    per = materialise(labels.where("doc_id is not null and subject_id is not null").groupBy("doc_id").agg(F.collect_set("subject_id").alias("subjects")), "labels")
-    n = per.count()
-    return materialise(per.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(MAX_LABELLED / n * 1_000_000)), "labels") if n > MAX_LABELLED else per
+    """doc_id, subjects of all labelled texts. Written, so that its size is known where texts and hits are joined with it."""
+    return materialise(labels.where("doc_id is not null and subject_id is not null").groupBy("doc_id").agg(F.collect_set("subject_id").alias("subjects")), "labels")
 
 
 def labelled_sample(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -115,16 +112,27 @@ def fit_terms(sample: DataFrame) -> dict[str, dict[int, float]]:
                 seen = set().union(*map(ngrams, sentences(text)), [""])
                 for s in (0, *(int(x) for x in subjects if x)):
                     n.update((g, s) for g in seen)
+                if len(n) > HELD:  # added up below
+                    yield pd.DataFrame([(g, s, c) for (g, s), c in n.items()], columns=["term", "subject", "n"])
+                    n.clear()
         yield pd.DataFrame([(g, s, c) for (g, s), c in n.items()], columns=["term", "subject", "n"])
 
     counts = sample.mapInPandas(count, "term string, subject int, n long").groupBy("term", "subject").agg(F.sum("n").alias("n"))
     counts = counts.groupBy("term").agg(F.max(F.when(F.col("subject") == 0, F.col("n"))).alias("m"), F.map_from_entries(F.collect_list(F.struct("subject", "n"))).alias("by"))
+    counts = materialise(counts, "counts")
     curated = {t.strip(): s for s, ts in CURATED.items() for t in ts.split(";")}
     all_row = counts.where("term = ''").collect()
     total = all_row[0].m if all_row else 0
     base = {s: n / total for s, n in all_row[0].by.items() if s} if total else {}
-    best = F.array_max(F.map_values(F.map_filter("by", lambda k, v: k != 0)))
-    keep = counts.where(((F.col("m") >= MIN_TEXTS) & (best >= MIN_PRECISION * F.col("m"))) | F.col("term").isin(*curated)).where("term <> ''")
+    odds = F.create_map(*[F.lit(x) for kv in base.items() for x in kv]) if base else F.create_map().cast("map<int,double>")
+
+    def worth(e: Column) -> Column:
+        """Whether a subject's gain may suffice; it is settled below."""
+        m, x, q = F.col("m"), e["value"], odds[e["key"]]
+        gain = x * F.log(x / m / q) + F.when(m > x, (m - x) * F.log((1 - x / m) / (1 - q))).otherwise(0.0)
+        return (e["key"] != 0) & (x >= MIN_PRECISION * m - 1e-6) & (q < 1) & (gain >= MIN_GAIN - 1e-6)
+
+    keep = counts.where(((F.col("m") >= MIN_TEXTS) & F.exists(F.map_entries("by"), worth)) | F.col("term").isin(*curated)).where("term <> ''")
     terms: dict[str, dict[int, float]] = {t: {s: SEED_WEIGHT} for t, s in curated.items()}
     for r in keep.collect():
         m = r.m
@@ -270,14 +278,10 @@ def document_subjects(docs: DataFrame, labels: DataFrame) -> DataFrame:
     Null and empty texts, and texts of markup only, have no subject. Texts are read whole, once. A doc_id that occurs twice
     is assessed twice. Without labels the curated terms, SHARE and VOTE are used as they stand."""
     ids = labelled_ids(labels)
-    sample = labelled_sample(docs, ids).persist()
-    try:
-        terms = fit_terms(sample)
-        hits = materialise(document_hits(docs, list(terms)), "hits")
-        weights = weigh_terms(hits, terms)
-        vote, own, share = calibrate(hits, ids, weights)
-    finally:
-        sample.unpersist()
+    terms = fit_terms(labelled_sample(docs, ids))
+    hits = materialise(document_hits(docs, list(terms)), "hits")
+    weights = weigh_terms(hits, terms)
+    vote, own, share = calibrate(hits, ids, weights)
     least = F.lit(share)
     for s, t in own.items():
         least = F.when(F.col("subject_id") == s, t).otherwise(least)

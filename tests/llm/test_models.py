@@ -10,6 +10,7 @@ from lonja.llm.encoder import Encoder, kmeans, tune_probes
 from lonja.llm.listing_attributes import deletions
 from lonja.llm.official_match import exclusive, fit_mixture, match_official, posteriors
 from lonja.llm.product_groups import compatible, components, product_groups, product_links, product_pairs
+from lonja.llm import subjects
 from lonja.llm.subjects import document_subjects, sentences
 from lonja.llm.vehicle_text import Lexicon, fold, model_likeness, read
 from tests.test_units_snapshots import T0, reference
@@ -145,3 +146,13 @@ def test_products(spark):
     want = {(a, b) for v in truth.values() for a, b in itertools.combinations(sorted(v), 2)}
     assert len(got & want) >= 0.95 * len(want) and len(got & want) >= 0.99 * len(got)
     assert product_pairs(product_groups(df.limit(0), *reference(spark))[0]).count() == 0
+
+
+def test_the_fit_takes_all_labelled_texts(spark, monkeypatch):
+    many = spark.range(10_500).select(F.col("id").alias("doc_id"), F.lit(1).alias("subject_id"))
+    assert subjects.labelled_ids(many).count() == 10_500
+    texts = [(i, f"the {'piston' if i % 2 else 'levy'} ring number{i % 7} of house{i % 3}", [1 + i % 2]) for i in range(60)]
+    sample = spark.createDataFrame(texts, "doc_id long, text string, subjects array<int>")
+    whole = subjects.fit_terms(sample)
+    monkeypatch.setattr(subjects, "HELD", 10)
+    assert subjects.fit_terms(sample) == whole and "piston" in whole and set(whole["piston"]) == {2}
